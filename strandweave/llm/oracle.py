@@ -31,4 +31,30 @@ SELECT p.page_id, p.host, p.path, fit.rule,
 FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND fit.k = 1 LEFT JOIN loose ON p.page_id = loose.page_id
 """
 
-ORACLE = {"op1_url_filter": OP1}
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+), p AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT m FROM p
+), g AS (
+  SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS g
+  FROM d, lengths, unnest(range(1, len(w) - m + 2)) AS r(i) WHERE len(w) >= m
+), o AS (
+  SELECT g.doc_id, g.i, g.m, p.item_id FROM g JOIN p ON g.g = p.g AND g.m = p.m
+), h AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM o) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM o GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+ORACLE = {"op1_url_filter": OP1, "op5_wu_manber_decontamination": OP5}

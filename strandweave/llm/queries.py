@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_filter
+from . import bpe, decontaminate, sharding, url_filter
 from .common import table
 
 HOST_RULES = [
@@ -24,6 +24,37 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the words and items of the benchmark that occur in it."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(documents, "text", table(spark, sf_dir, "benchmark"))
+    n_hit, items = decontaminate.hit_words(F.col("out.spans")), F.col("out.items")
+    return found.select(
+        "row.doc_id",
+        "out.n_words",
+        n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Per document the digests of its token ids and of the decoded bytes."""
+    import public_tokenizers
+
+    ranks, pattern = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(documents, "text", ranks, pattern).select("row.doc_id", "out.ids")
+    decoded = bpe.decode(encoded, "ids", ranks)
+    return decoded.select(
+        "row.doc_id",
+        (F.octet_length("row.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("row.ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("out.decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op9_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 16 with near equal bytes, and its slot there."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,5 +65,7 @@ def op9_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op5_wu_manber_decontamination": op5_wu_manber_decontamination,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_histogram_sort_sharding": op9_histogram_sort_sharding,
 }
