@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, sharding, url_filter
+from . import bpe, decontaminate, quality, sharding, toxicity, url_filter
 from .common import table
 
 HOST_RULES = [
@@ -24,6 +24,31 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def fold(doc_id: str, count: int):
+    """crc32 of the id as text, mod ``count``; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(count))
+
+
+def op4_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of quality label 1."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(fold("doc_id", 5) != 0)
+    scored = quality.score_rows(documents, "text", quality.fit(documents, labels))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), F.col("out.score").alias("score")).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of toxicity label 1."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold("doc_id", 3) != 1)
+    scored = toxicity.score_rows(documents, "text", toxicity.fit(documents, labels))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), F.col("out.score").alias("score")).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the words and items of the benchmark that occur in it."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,7 +90,9 @@ def op9_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op4_byte_cnn_quality": op4_byte_cnn_quality,
     "op5_wu_manber_decontamination": op5_wu_manber_decontamination,
+    "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_histogram_sort_sharding": op9_histogram_sort_sharding,
 }
