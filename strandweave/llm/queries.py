@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, sharding, toxicity, url_filter
+from . import bpe, decontaminate, quality, sharding, simhash, toxicity, url_filter
 from .common import table
 
 HOST_RULES = [
@@ -24,6 +24,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op2_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and the least doc_id that links of 2 bits or fewer reach."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(documents)
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def fold(doc_id: str, count: int):
     """crc32 of the id as text, mod ``count``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(count))
@@ -90,6 +97,7 @@ def op9_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_simhash_vp_trees": op2_simhash_vp_trees,
     "op4_byte_cnn_quality": op4_byte_cnn_quality,
     "op5_wu_manber_decontamination": op5_wu_manber_decontamination,
     "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
