@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, sharding, simhash, toxicity, url_filter
+from . import ann, bpe, decontaminate, quality, sharding, simhash, toxicity, url_filter
 from .common import table
 
 HOST_RULES = [
@@ -95,6 +95,12 @@ def op9_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every row whose vec_id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_vp_trees": op2_simhash_vp_trees,
@@ -103,4 +109,5 @@ QUERIES = {
     "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_histogram_sort_sharding": op9_histogram_sort_sharding,
+    "op10_anisotropic_ann": op10_anisotropic_ann,
 }
