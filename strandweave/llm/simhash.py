@@ -32,8 +32,11 @@ from .components import components
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints of the sample from which vantage points are drawn.
 SAMPLE = 4000
-#: A shard should hold about so many fingerprints; larger ones are split into blocks.
-SHARD_ROWS, BLOCK_DATA, BLOCK_OTHERS = 20_000, 40_000, 80_000
+#: A further level of the tree for each factor LEVEL_FACTOR of fingerprints over SHARD_ROWS. A level deals the
+#: fingerprints into some 20 rings (the fullest holds a tenth) and lets each query up to five of them.
+SHARD_ROWS, LEVEL_FACTOR = 300, 40
+#: Shards of more rows than this are split into blocks.
+BLOCK_DATA, BLOCK_OTHERS = 40_000, 80_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, step: int = 1 << 16) -> int:
@@ -182,7 +185,7 @@ def search(data: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarra
 def link(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp``: a spanning forest for each part of the search."""
     spark = distinct.sparkSession
-    levels = max(1, math.ceil(math.log(max(2.0, count / SHARD_ROWS), 8)))
+    levels = max(1, math.ceil(math.log(max(2.0, count / SHARD_ROWS), LEVEL_FACTOR)))
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
     points = vantage_points(sample, levels)
     sent = spark.sparkContext.broadcast(points)
