@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,6 +48,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read back; the folder goes when the driver ends."""
+    spark = df.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/strandweave-{spark.sparkContext.applicationId}"
+    path = f"{base}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if base not in _made:
+        _made.add(base)
+        atexit.register(_drop, spark, base)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_made: set[str] = set()
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session may have ended first; the folder is a temporary one
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more, before the next large exchange."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_rows(
     df: DataFrame,
     needs: dict[str, str],

@@ -57,4 +57,21 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
-ORACLE = {"op1_url_filter": OP1, "op5_wu_manber_decontamination": OP5}
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS r(i) WHERE len(w) >= 13
+), m AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g
+), hit AS (
+  SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS k FROM g JOIN m ON g.g = m.g AND m.first < g.doc_id
+), t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d
+), kept AS (
+  SELECT t.doc_id, count(*) AS n, string_agg(t.x, ' ' ORDER BY t.k) AS s
+  FROM t LEFT JOIN hit ON t.doc_id = hit.doc_id AND t.k = hit.k WHERE hit.k IS NULL GROUP BY t.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+ORACLE = {"op6_seed_and_extend_dedup": OP6, "op1_url_filter": OP1, "op5_wu_manber_decontamination": OP5}

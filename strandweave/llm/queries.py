@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, quality, sharding, simhash, toxicity, url_filter
+from . import ann, bpe, decontaminate, quality, sharding, simhash, substrings, toxicity, url_filter
 from .common import table
 
 HOST_RULES = [
@@ -46,6 +46,18 @@ def op4_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_seed_and_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that repeat 13 words of a document of smaller id, and the digest of the rest."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substrings.remove_repeats(documents)
+    return done.select(
+        "row.doc_id",
+        "out.n_words",
+        (F.col("out.n_words") - F.col("out.n_kept")).alias("n_removed"),
+        F.sha2(F.col("out.kept"), 256).alias("kept_sha256"),
+    )
+
+
 def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability of toxicity label 1."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,6 +118,7 @@ QUERIES = {
     "op2_simhash_vp_trees": op2_simhash_vp_trees,
     "op4_byte_cnn_quality": op4_byte_cnn_quality,
     "op5_wu_manber_decontamination": op5_wu_manber_decontamination,
+    "op6_seed_and_extend_dedup": op6_seed_and_extend_dedup,
     "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_histogram_sort_sharding": op9_histogram_sort_sharding,
