@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, quality, sharding, simhash, substrings, toxicity, url_filter
+from . import ann, bpe, chat, decontaminate, quality, sharding, simhash, substrings, toxicity, url_filter
 from .common import table
 
 HOST_RULES = [
@@ -31,6 +31,11 @@ def op2_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in reply order, without quotes, with the message it replies to."""
+    return chat.link_quotes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def fold(doc_id: str, count: int):
     """crc32 of the id as text, mod ``count``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(count))
@@ -116,6 +121,7 @@ def op10_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_vp_trees": op2_simhash_vp_trees,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_byte_cnn_quality": op4_byte_cnn_quality,
     "op5_wu_manber_decontamination": op5_wu_manber_decontamination,
     "op6_seed_and_extend_dedup": op6_seed_and_extend_dedup,
