@@ -53,13 +53,20 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/strandweave-{spark.sparkContext.applicationId}"
     path = f"{base}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The table holds the result, so the shuffle files behind it may go as soon as it is written.
+    told = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if told is None else spark.conf.set(CLEANUP, told)
     if base not in _made:
         _made.add(base)
         atexit.register(_drop, spark, base)
     return spark.read.schema(df.schema).parquet(path)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: set[str] = set()
 
 

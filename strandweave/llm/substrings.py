@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .common import map_rows, release, small_batches, written
 
 WINDOW, SEED_WORDS = 13, 4
+#: Bytes that are hashed together; longer words than LONG_WORD bytes are hashed one by one.
+CHUNK, LONG_WORD = 1 << 19, 64
 #: Odd multipliers of the hash families.
 FAMILY = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
@@ -50,49 +52,66 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of word runs; keeps powers of the multipliers."""
+    """Hashes of words and word runs of many texts at once; keeps powers of the multipliers."""
 
     def __init__(self, window: int, seed: int):
         self.window, self.seed = window, seed
         self.reach = window - seed
-        self.powers(4096)
+        self.up: list[np.ndarray] = []
+        self.powers(CHUNK + 1)
 
     def powers(self, n: int) -> None:
         self.up, self.down = [], []
         for a in FAMILY[:2]:
-            inverse = pow(a, -1, 1 << 64)
-            for out, base in ((self.up, a), (self.down, inverse)):
+            for out, base in ((self.up, a), (self.down, pow(a, -1, 1 << 64))):
                 steps = np.full(n, base, np.uint64)
                 steps[0] = 1
                 out.append(np.multiply.accumulate(steps))
 
     def runs(self, h: np.ndarray, family: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hash of the words start to stop (exclusive) for each pair, whatever stands before them."""
+        """Hash of the values start to stop (exclusive) for each pair, whatever stands before them."""
         if len(h) + 1 > len(self.up[0]):
             self.powers(2 * len(h) + 2)
         total = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * self.up[family][: len(h)], out=total[1:])
         return mix((total[stop] - total[start]) * self.down[family][start])
 
-    def words(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        if len(words) < self.window:
-            return words, np.zeros(0, np.uint64)
-        return words, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and stop of every word of UTF-8 bytes."""
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        turn = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
+        start, stop = turn[::2], turn[1::2]
+        h = np.empty(len(start), np.uint64)
+        bounds = np.searchsorted(start, np.arange(0, len(data) + CHUNK, CHUNK))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if a < b:  # words that start in one chunk
+                low, high = start[a], min(stop[b - 1], start[a] + 2 * CHUNK)
+                part = data[low:high].astype(np.uint64) + np.uint64(1)
+                h[a:b] = self.runs(part, 0, start[a:b] - low, np.minimum(stop[a:b] - low, len(part))) + (stop[a:b] - start[a:b]).astype(np.uint64)
+        for i in np.flatnonzero(stop - start > LONG_WORD):
+            h[i] = xxhash.xxh64_intdigest(data[start[i] : stop[i]].tobytes())
+        return mix(h), start, stop
 
     def anchors(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every word group, and for every window the place of its anchor."""
+        """Hash of every word group, and for every window the place of its anchor (the first of least hash)."""
         n = len(h) - self.seed + 1
         g = h[:n]
         for k in range(1, self.seed):
             g = g * np.uint64(FAMILY[0]) + h[k : k + n]
         g = mix(g)
-        windows = np.lib.stride_tricks.sliding_window_view(g, self.reach + 1)
-        return g, windows.argmin(axis=1) + np.arange(len(windows))
-
-    def surroundings(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        size = self.reach + 1
+        count = n - size + 1
+        least, at = g[:count].copy(), np.arange(count)
+        for k in range(1, size):
+            other = g[k : k + count]
+            less = other < least
+            np.copyto(least, other, where=less)
+            np.copyto(at, np.arange(k, k + count), where=less)
+        return g, at
+
+    def surroundings(self, h: np.ndarray, at: np.ndarray, first: np.ndarray | int, last: np.ndarray | int) -> np.ndarray:
         """Hash of each anchor's words with all that any window around it can hold, cut at the text's ends."""
-        start, stop = np.maximum(at - self.reach, 0), np.minimum(at + self.seed + self.reach, len(h))
+        start, stop = np.maximum(at - self.reach, first), np.minimum(at + self.seed + self.reach, last)
         cut = ((at - start) * 64 + (stop - at)).astype(np.uint64)
         return mix(self.runs(mix(h), 1, start, stop) + cut * np.uint64(FAMILY[0]))
 
@@ -100,33 +119,61 @@ class Hasher:
         stop = at + self.window
         return self.runs(h, 0, at, stop), self.runs(mix(h ^ np.uint64(FAMILY[1])), 1, at, stop)
 
+    def texts(self, texts: list[str | None]):
+        """Groups of texts of some CHUNK bytes: (numbers of the texts, hashes of all words, text of each word counted
+        within the group, first word of each text, all windows' starts that lie within a text)."""
+        numbers, parts, size = [], [], 0
+        for i, t in enumerate([*texts, None]):
+            if i < len(texts) and t:
+                numbers.append(i)
+                parts.append(t.encode("utf-8", "surrogatepass"))
+                size += len(parts[-1]) + 1
+            if parts and (size >= CHUNK or i == len(texts)):
+                h, start, _ = self.words(np.frombuffer(b" ".join(parts), np.uint8))
+                ends = np.cumsum([len(p) + 1 for p in parts])
+                bounds = np.r_[0, np.searchsorted(start, ends)]
+                if len(h) >= self.window:
+                    owner = np.repeat(np.arange(len(parts)), np.diff(bounds))
+                    s = np.arange(len(h) - self.window + 1)
+                    yield np.array(numbers), h, owner, bounds, s[owner[s] == owner[s + self.window - 1]]
+                numbers, parts, size = [], [], 0
+
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(anchor, doc, around): each document's anchors with their surroundings, repeats within a document left out."""
+    """(anchor, doc, around, met): each document's anchors with their surroundings, repeats left out.
+
+    Of equal surroundings in one Arrow batch only the document of least id goes on as an occurrence; the others have
+    ``met`` a smaller document already, and a spread key instead of the anchor. So a group of copies, however
+    large, is reduced before it is exchanged.
+    """
 
     def run(batches):
         tool = Hasher(window, seed)
         for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
             parts: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, h = tool.words(text)
-                if not len(h):
-                    continue
+            for numbers, h, owner, bounds, inside in tool.texts(b.column(1).to_pylist()):
                 g, at = tool.anchors(h)
-                at = at[np.r_[True, np.diff(at) != 0]]
-                a, s = g[at], tool.surroundings(h, at)
-                keep = np.unique(s, return_index=True)[1]
-                parts.append((a[keep], np.full(len(keep), doc, np.int64), s[keep]))
-            if parts:
-                a, d, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(d), pa.array(signed(s))], names=["anchor", "doc", "around"])
+                at = np.unique(at[inside])
+                who = owner[at]
+                parts.append((g[at], ids[numbers][who], tool.surroundings(h, at, bounds[who], bounds[who + 1])))
+            if not parts:
+                continue
+            a, d, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((d, s))
+            a, d, s = a[order], d[order], s[order]
+            fresh = np.r_[True, (np.diff(d) != 0) | (s[1:] != s[:-1])]
+            a, d, s = a[fresh], d[fresh], s[fresh]
+            lead = np.r_[True, s[1:] != s[:-1]]
+            a = np.where(lead, a, mix(s ^ (d.view(np.uint64) * np.uint64(FAMILY[0]))))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(d), pa.array(signed(s)), pa.array(~lead)], names=["anchor", "doc", "around", "met"])
 
     small_batches(docs.sparkSession)
-    return docs.filter("doc is not null").select("doc", "text").mapInArrow(run, "anchor long, doc long, around long")
+    return docs.filter("doc is not null").select("doc", "text").mapInArrow(run, "anchor long, doc long, around long, met boolean")
 
 
 def open_windows(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -135,19 +182,21 @@ def open_windows(docs: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches):
         tool = Hasher(window, seed)
         for b in batches:
-            parts: list[tuple] = []
-            for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                _, h = tool.words(text)
-                if not len(h):
-                    continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            lists = b.column(2)
+            wanted, sizes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
+            owners = np.repeat(np.arange(len(ids)), sizes)
+            keys = np.sort(mix(wanted ^ (owners.astype(np.uint64) * np.uint64(FAMILY[0]))))
+            for numbers, h, owner, _, inside in tool.texts(b.column(1).to_pylist()):
                 g, at = tool.anchors(h)
-                chosen = np.flatnonzero(np.isin(signed(g)[at], np.array(wanted, np.int64)))
-                w1, w2 = tool.window_hashes(h, chosen)
-                keep = np.unique(w1, return_index=True)[1]
-                parts.append((w1[keep], w2[keep], np.full(len(keep), doc, np.int64)))
-            if parts:
-                w1, w2, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(d)], names=["w1", "w2", "doc"])
+                who = numbers[owner[inside]]
+                own = mix(g[at[inside]] ^ (who.astype(np.uint64) * np.uint64(FAMILY[0])))
+                place = np.searchsorted(keys, own)
+                hit = (place < len(keys)) & (keys[np.minimum(place, len(keys) - 1)] == own) if len(keys) else np.zeros(len(own), bool)
+                w1, w2 = tool.window_hashes(h, inside[hit])
+                d = ids[who[hit]]
+                keep = np.unique(mix(w1 ^ (d.view(np.uint64) * np.uint64(FAMILY[0]))), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(w1[keep])), pa.array(signed(w2[keep])), pa.array(d[keep])], names=["w1", "w2", "doc"])
 
     return docs.select("doc", "text", "open").mapInArrow(run, "w1 long, w2 long, doc long")
 
@@ -163,22 +212,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     slim = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc"), docs[f"`{text_col}`"].alias("text"))
 
-    # Seed: anchors of two documents or more, with the representative's surroundings.
-    occurrences = seeds(slim, window, seed)
+    # Seed: anchors of two documents or more, with the representative's surroundings. One exchange by anchor serves
+    # both the grouping and the join.
+    occurrences = seeds(slim, window, seed).repartition("anchor")
     shared = (
-        occurrences.groupBy("anchor")
+        occurrences.filter("not met")
+        .groupBy("anchor")
         .agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("around", "doc").alias("model"), F.min("around").alias("lo"), F.max("around").alias("hi"))
         .filter("first < last")
         .select("anchor", "first", "model", (F.col("lo") != F.col("hi")).alias("differ"))
     )
-    same = (F.col("doc") > F.col("first")) & (F.col("around") == F.col("model"))
-    met = occurrences.join(shared, "anchor").select("doc", F.when(same, F.col("around")).alias("c"), F.when(~same & F.col("differ"), F.col("anchor")).alias("o"))
+    same = F.col("met") | ((F.col("doc") > F.col("first")) & (F.col("around") == F.col("model")))
+    met = occurrences.join(shared, "anchor", "left").select("doc", F.when(same, F.col("around")).alias("c"), F.when(~same & F.col("differ"), F.col("anchor")).alias("o"))
     by_doc = written(met.filter("c is not null or o is not null").groupBy("doc").agg(F.collect_set("c").alias("covered"), F.collect_set("o").alias("open")))
     del occurrences, shared, met
     release(spark)
 
     # Extend what differs: windows with the least document that has them.
-    windows = open_windows(slim.join(by_doc.filter("size(open) > 0").select("doc", "open"), "doc"), window, seed)
+    windows = open_windows(slim.join(by_doc.filter("size(open) > 0").select("doc", "open"), "doc"), window, seed).repartition("w1", "w2")
     least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first")
     again = windows.join(least, ["w1", "w2"]).filter("doc > first")
     found = written(again.groupBy("doc").agg(F.collect_list(F.struct("w1", "w2")).alias("windows")))
@@ -189,26 +240,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tool = Hasher(window, seed)
 
         def judge(text, covered, listed):
-            words, h = tool.words(text)
-            if not len(h) or (not covered and not listed):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            if not covered and not listed:
+                words = raw.split()
+                return len(words), [], b" ".join(words).decode("utf-8", "surrogatepass"), len(words)
+            h, start, stop = tool.words(np.frombuffer(raw, np.uint8))
+            if len(h) < window:
+                words = raw.split()
                 return len(words), [], b" ".join(words).decode("utf-8", "surrogatepass"), len(words)
             g, at = tool.anchors(h)
             hit = np.zeros(len(at), bool)
             if covered:
-                hit |= np.isin(signed(tool.surroundings(h, at)), np.array(covered, np.int64))
+                hit |= np.isin(signed(tool.surroundings(h, at, 0, len(h))), np.array(covered, np.int64))
             if listed:
                 w1, w2 = tool.window_hashes(h, np.arange(len(at)))
                 own = both(np.array([x["w1"] for x in listed], np.int64).view(np.uint64), np.array([x["w2"] for x in listed], np.int64).view(np.uint64))
                 hit |= np.isin(both(w1, w2), own)
-            edge = np.zeros(len(words) + 1, np.int64)
+            edge = np.zeros(len(h) + 1, np.int64)
             starts = np.flatnonzero(hit)
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + window, -1)
             gone = np.cumsum(edge[:-1]) > 0
             turn = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
             spans = [{"start": int(a), "stop": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)]
-            kept = [w for w, x in zip(words, gone, strict=True) if not x]
-            return len(words), spans, b" ".join(kept).decode("utf-8", "surrogatepass"), len(kept)
+            stay = ~gone
+            kept = b" ".join([raw[a:b] for a, b in zip(start[stay].tolist(), stop[stay].tolist(), strict=True)])
+            return len(h), spans, kept.decode("utf-8", "surrogatepass"), int(stay.sum())
 
         def call(a):
             rows = [judge(*x) for x in zip(a["text"].to_pylist(), a["covered"].to_pylist(), a["windows"].to_pylist(), strict=True)]
