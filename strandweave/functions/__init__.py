@@ -1 +1 @@
-"""Part of strandweave; see the package README."""
+"""Column functions: oriented paths, sequences, and small statistics. All run inside the JVM."""

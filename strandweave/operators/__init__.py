@@ -1 +1 @@
-"""Part of strandweave; see the package README."""
+"""Table operators: graph, alignments, read paths, variants, bins, model, resampling, conflicts, pangenome."""

@@ -1 +1 @@
-"""Part of strandweave; see the package README."""
+"""Adapters, whole pipelines, the command line and the registered queries."""
