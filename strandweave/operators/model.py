@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def log_likelihood(cells: DataFrame, freqs: DataFrame, sizes: DataFrame, props: DataFrame) -> DataFrame:
     """loglik, n: one row. cells: bin_id, path, num_matched, num_possible_x; freqs: cid, path, freq; props: cid, prop."""
@@ -23,7 +25,9 @@ def em_steps(observed: DataFrame, freqs: DataFrame, sizes: DataFrame, steps: int
     With base shares w_v = p_v L_v / sum and rates a = freq / L the likelihood is that of a mixture, so a step is two
     joins and two sums. ``observed`` has path and x (reads in usable cells).
     """
-    rates = freqs.join(sizes.select("cid", "size"), "cid").join(observed, "path").select("cid", "path", (F.col("freq") / F.col("size")).alias("a"), "x")
+    sizes = checkpointed(sizes.select("cid", "size"))
+    observed = checkpointed(observed)
+    rates = checkpointed(freqs.join(sizes, "cid").join(observed, "path").select("cid", "path", (F.col("freq") / F.col("size")).alias("a"), "x"))
     n = rates.select("cid").distinct().agg(F.count("*").alias("k"))
     w = rates.select("cid").distinct().crossJoin(F.broadcast(n)).select("cid", (1 / F.col("k")).alias("w"))
     all_x = observed.join(rates.select("path").distinct(), "path", "left_semi").agg(F.sum("x").alias("total"))
@@ -31,6 +35,7 @@ def em_steps(observed: DataFrame, freqs: DataFrame, sizes: DataFrame, steps: int
         part = rates.join(w, "cid").select("cid", "path", "x", (F.col("w") * F.col("a")).alias("r"))
         norm = part.groupBy("path").agg(F.sum("r").alias("z"))
         w = part.join(norm, "path").groupBy("cid").agg(F.sum(F.col("x") * F.col("r") / F.col("z")).alias("s")).crossJoin(F.broadcast(all_x)).select("cid", (F.col("s") / F.col("total")).alias("w"))
+        w = checkpointed(w)  # one row for each variant
     p = w.join(sizes.select("cid", "size"), "cid").select("cid", (F.col("w") / F.col("size")).alias("p"))
     return p.crossJoin(F.broadcast(p.agg(F.sum("p").alias("all")))).select("cid", (F.col("p") / F.col("all")).alias("prop"))
 

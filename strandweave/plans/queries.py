@@ -542,10 +542,10 @@ def size_filter(spark, d):
 
 @register(
     "merged_candidates",
-    f"""WITH c AS (SELECT {gaf('x')} AS path, CASE WHEN cid < 3 THEN 0 WHEN cid < 6 THEN 1 ELSE 2 END AS r, cid AS o, x FROM (SELECT cid, {canon('p')} AS x FROM va)),
-    u AS (SELECT * FROM c UNION ALL SELECT path, 2, o + 100, x FROM c WHERE o < 4),
-    f AS (SELECT path, x, min({{'r': r, 'o': o}}) AS m FROM u GROUP BY path, x)
-    SELECT row_number() OVER (ORDER BY m.r, m.o, x) - 1 AS cid, path, CASE m.r WHEN 0 THEN 'user_fixed' WHEN 1 THEN 'user' ELSE 'search' END AS source FROM f""",
+    f"""WITH c AS (SELECT {gaf('pt')} AS path, CASE WHEN cid < 3 THEN 0 WHEN cid < 6 THEN 1 ELSE 2 END AS r, cid AS o, pt FROM (SELECT cid, {canon('p')} AS pt FROM va)),
+    u AS (SELECT * FROM c UNION ALL SELECT path, 2, o + 100, pt FROM c WHERE o < 4),
+    f AS (SELECT path, pt, min({{'r': r, 'o': o}}) AS m FROM u GROUP BY path, pt)
+    SELECT row_number() OVER (ORDER BY m.r, m.o, pt) - 1 AS cid, path, CASE m.r WHEN 0 THEN 'user_fixed' WHEN 1 THEN 'user' ELSE 'search' END AS source FROM f""",
 )
 def merged_candidates(spark, d):
     v = A.variants(spark, d).select(P.canonical(F.col("path")).alias("path"), F.when(F.col("cid") < 3, "user_fixed").when(F.col("cid") < 6, "user").otherwise("search").alias("source"), F.col("cid").alias("ord"))
@@ -561,9 +561,9 @@ def sub_sql() -> str:
   st AS (SELECT k, i, lens.n, len, ov, ci.p[i] AS s, ci.circular AS c FROM lens JOIN ci ON ci.cid = k),
   ext AS (SELECT k, n, c, t * n + i AS j, s, len, CASE WHEN t * n + i = 1 THEN 0 ELSE lag(ov) OVER (PARTITION BY k ORDER BY t * n + i) END AS po FROM st, range({turns}) r(t) WHERE c OR t = 0),
   ag AS (SELECT k, n, max(j) AS m, list(s ORDER BY j) AS p, list(len - coalesce(po, 0) ORDER BY j) AS adds FROM ext GROUP BY k, n),
-  ru AS (SELECT k, p[i : i + w - 1] AS x FROM ag, unnest(range(1, n + 1)) AS a(i), unnest(range(1, least(m - i + 2, 12))) AS b(w)
+  ru AS (SELECT k, p[i : i + w - 1] AS pt FROM ag, unnest(range(1, n + 1)) AS a(i), unnest(range(1, least(m - i + 2, 12))) AS b(w)
     WHERE i + w - 1 <= m AND (w <= 2 OR list_sum(adds[i + 1 : i + w - 2]) <= {LONGEST} - 2)),
-  vs AS (SELECT k AS cid, {canon('x')} AS p, count(*)::INT AS freq FROM ru GROUP BY 1, 2)"""
+  vs AS (SELECT k AS cid, {canon('pt')} AS p, count(*)::INT AS freq FROM ru GROUP BY 1, 2)"""
 
 
 SUB = sub_sql()
@@ -740,14 +740,14 @@ def selected_model(spark, d):
 @register("mcmc_means")
 def mcmc_means(spark, d):
     c = chosen_variants(spark, d, 4)
-    sent = spark.sparkContext.broadcast(c)
+    walk = M.metropolis
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for chain in b.column(0).to_pylist():
-                draws = M.metropolis(sent.value, 400, 200, chain)
+                draws = walk(c, 400, 200, chain)
                 yield pa.RecordBatch.from_arrays([pa.array([chain] * len(c.cids), pa.int64()), pa.array(c.cids, pa.int32()), pa.array(draws.mean(0)), pa.array(draws.std(0))], names=["chain", "cid", "m", "s"])
 
     got = spark.range(0, 4, 1, 4).mapInArrow(run, "chain long, cid int, m double, s double")
@@ -875,11 +875,12 @@ def fixed_blocks(spark, d) -> DataFrame:
     return steps.select("cid", "vid", (F.dense_rank().over(Window.orderBy("n")) - 1).alias("block_id"), F.lit(0).alias("pos"), "e")
 
 
-@register("variant_index", f"WITH {BEST} SELECT cid, i - 1 AS vid, p[i].n AS n, p[i].e AS e, CASE WHEN circular OR i < len(p) THEN i % len(p) END AS next_vid, CASE WHEN circular OR i > 1 THEN (i - 2 + len(p)) % len(p) END AS prev_vid FROM bv, unnest(range(1, len(p) + 1)) AS r(i)")
+@register("variant_index", f"WITH {BEST} SELECT cid, i - 1 AS vid, p[i].n AS n, p[i].e AS e, CASE WHEN circular OR i < len(p) THEN i % len(p) ELSE -1 END AS next_vid, CASE WHEN circular OR i > 1 THEN (i - 2 + len(p)) % len(p) ELSE -1 END AS prev_vid FROM bv, unnest(range(1, len(p) + 1)) AS r(i)")
 def variant_index(spark, d):
     from ..operators import pangenome as PG
 
-    return PG.index(best_variants(spark, d))
+    long = lambda c: F.coalesce(c, F.lit(-1)).cast("long").alias(c)
+    return PG.index(best_variants(spark, d)).select("cid", long("vid"), "n", "e", long("next_vid"), long("prev_vid"))
 
 
 @register("vertex_copy_distribution", "SELECT name, max(c) AS max_copies, count(*) AS n_variants FROM (SELECT s.n AS name, cid, count(*) AS c FROM (SELECT cid, unnest(p) AS s FROM va) GROUP BY ALL) GROUP BY name")

@@ -1 +1 @@
-"""Part of strandweave; see the package README."""
+"""Readers and writers of graph, alignment, sequence and path files; all lines are read and written by Spark."""
