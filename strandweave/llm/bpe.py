@@ -28,7 +28,7 @@ from .common import map_rows
 #: Longest piece, in bytes, that is merged directly.
 LEAF = 48
 #: Remembered pieces of a task, cleared when full.
-MEMO = 400_000
+MEMO = 150_000
 
 
 class Encoder:
