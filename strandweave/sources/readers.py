@@ -123,9 +123,13 @@ def read_alignments(spark: SparkSession, path: str, min_record_identity: float =
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """query_name, seq: four lines a record. Lines are numbered in file order, one file at a time."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("i", "v"))
-    got = rows.groupBy(F.floor(F.col("i") / 4).alias("r")).agg(F.max(F.when(F.col("i") % 4 == 0, F.col("v"))).alias("h"), F.max(F.when(F.col("i") % 4 == 1, F.col("v"))).alias("seq"))
+    """query_name, seq: four lines a record. Lines are numbered by file block: a row's place in its block, plus the lines
+    of the file's earlier blocks."""
+    rows = spark.read.text(path).select(F.input_file_name().alias("f"), F.input_file_block_start().alias("b"), F.monotonically_increasing_id().alias("m"), F.regexp_replace("value", "\r$", "").alias("v"))
+    blocks = rows.groupBy("f", "b").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = rows.join(blocks.select("f", "b", "first", ahead.alias("ahead")), ["f", "b"]).withColumn("i", F.col("ahead") + F.col("m") - F.col("first"))
+    got = at.groupBy("f", F.floor(F.col("i") / 4).alias("r")).agg(F.max(F.when(F.col("i") % 4 == 0, F.col("v"))).alias("h"), F.max(F.when(F.col("i") % 4 == 1, F.col("v"))).alias("seq"))
     return got.filter(F.col("h").startswith("@")).select(F.regexp_extract("h", r"^@(.*)$", 1).alias("query_name"), "seq")
 
 

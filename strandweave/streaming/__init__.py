@@ -1 +1 @@
-"""Part of strandweave; see the package README."""
+"""Streaming extras: read paths counted as alignments arrive, and windows over event time."""
