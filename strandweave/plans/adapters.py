@@ -50,15 +50,16 @@ def reads(spark: SparkSession, sf_dir: str, name: str = "n") -> DataFrame:
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight segments c0 to c7: lengths in steps, coverage from the lines, an invented sequence."""
     li = table(spark, sf_dir, "lineitem")
-    return _segments(li.groupBy((F.col("l_suppkey") % CONTIGS).alias("i")).agg(F.avg("l_quantity").alias("cov")), "c", F.lit(1000) + 250 * F.col("i"))
+    return _segments(li.groupBy((F.col("l_suppkey") % CONTIGS).alias("g")).agg(F.max(F.col("l_suppkey") % CONTIGS).alias("i"), F.avg("l_quantity").alias("cov")), "c", F.lit(1000) + 250 * F.col("i"))
 
 
 def supplier_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return _segments(li.groupBy(F.col("l_suppkey").alias("i")).agg(F.avg("l_quantity").alias("cov")), "s", F.lit(1000) + 250 * (F.col("i") % 9))
+    return _segments(li.groupBy(F.col("l_suppkey").alias("g")).agg(F.max("l_suppkey").alias("i"), F.avg("l_quantity").alias("cov")), "s", F.lit(1000) + 250 * (F.col("i") % 9))
 
 
 def _segments(rows: DataFrame, letter: str, length) -> DataFrame:
+    """``i`` is an aggregate and not the grouping key, so filters on a sequence stay above the aggregation."""
     name = F.concat(F.lit(letter), F.col("i").cast("string"))
     return rows.select(name.alias("name"), length.cast("int").alias("len"), "cov").withColumn("seq", F.substring(F.translate(F.repeat(F.md5(F.col("name").cast("binary")), 110), "0123456789abcdef", "ACGTTGCAACGTCATG"), F.lit(1), F.col("len")))
 
