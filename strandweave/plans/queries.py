@@ -17,7 +17,10 @@ from ..operators import graph as G
 from ..operators import model as M
 from ..operators import readpaths as R
 from ..operators import resample as RS
+from ..operators import search as SE
+from ..operators import statistics as ST
 from ..operators import variants as V
+from ..sources import writers as W
 from . import adapters as A
 from .sql import canon, gaf, query, rev
 
@@ -108,10 +111,10 @@ def records(spark, d) -> DataFrame:
     )
 
 
-@register("read_identity_filter", "SELECT read AS query, sum(len)::BIGINT AS align_len, sum(len * ident) / sum(len) AS identity FROM rec GROUP BY read HAVING sum(len) >= 5000 AND sum(len * ident) / sum(len) >= 0.995")
+@register("read_identity_filter", "SELECT read AS query, sum(len)::BIGINT AS align_len, round(sum(len * ident) / sum(len), 9) AS identity FROM rec GROUP BY read HAVING sum(len) >= 5000 AND sum(len * ident) / sum(len) >= 0.995")
 def read_identity_filter(spark, d):
     got = AL.by_read(records(spark, d)).filter("p_align_len >= 5000 and p_identity >= 0.995")
-    return got.select(F.col("query_name").alias("query"), "p_align_len", F.col("p_identity").alias("identity")).withColumnRenamed("p_align_len", "align_len")
+    return got.select(F.col("query_name").alias("query"), "p_align_len", F.round("p_identity", 9).alias("identity")).withColumnRenamed("p_align_len", "align_len")
 
 
 @register("record_identity_filter", "SELECT read AS query, k, ident AS identity FROM rec WHERE ident >= 0.994")
@@ -132,7 +135,7 @@ def record_gaps(spark, d):
 @register("read_blocks")
 def read_blocks(spark, d):
     got = AL.find_blocks(records(spark, d), 5000, 0.995)
-    return got.select(F.col("query_name").alias("query"), "block", "len", F.round("ident", 9).alias("ident"), F.array_join(F.transform("records", lambda r: r.cast("string")), ",").alias("records"))
+    return got.select(F.col("query_name").alias("query"), F.col("block").cast("long").alias("block"), "len", F.round("ident", 9).alias("ident"), F.array_join(F.transform("records", lambda r: r.cast("string")), ",").alias("records"))
 
 
 ORACLE["read_blocks"] = query(
@@ -162,10 +165,10 @@ SELECT read AS query, row_number() OVER (PARTITION BY read ORDER BY b) AS block,
     """WITH rd AS (SELECT read, sum(len)::BIGINT AS l, sum(len * ident) / sum(len) AS i FROM rec GROUP BY read),
     gr AS (SELECT i * 0.0005::DOUBLE AS id_adj, j * 500 AS ln_adj FROM range(88) a(i), range(4) b(j)),
     s AS (SELECT id_adj, ln_adj, sum(CASE WHEN l > 5000.0 + ln_adj AND rd.i > 0.95::DOUBLE + id_adj THEN l ELSE 0 END)::BIGINT AS total FROM gr, rd GROUP BY ALL)
-    SELECT id_adj, ln_adj, abs(total - 20000000.0) AS diff, total FROM s ORDER BY diff, id_adj, ln_adj LIMIT 1""",
+    SELECT id_adj, ln_adj, abs(total - 20000000.0::DOUBLE) AS diff, total FROM s ORDER BY diff, id_adj, ln_adj LIMIT 1""",
 )
 def auto_min_identity(spark, d):
-    return AL.auto_identity(AL.by_read(records(spark, d)), 2e7, ln_end=2000)
+    return AL.auto_identity(AL.by_read(records(spark, d)), 2e7, ln_end=2000).withColumn("ln_adj", F.col("ln_adj").cast("long"))
 
 
 @register(
@@ -224,9 +227,9 @@ def component_cutoff_total(spark, d):
     return G.components_to_total(weights(spark, d), 0.99).select("component", F.round("weight", 4).alias("weight"))
 
 
-@register("average_depth", "SELECT sum(cov * len) / sum(len) AS depth FROM ss")
+@register("average_depth", "SELECT round(sum(cov * len) / sum(len), 9) AS depth FROM ss")
 def average_depth(spark, d):
-    return G.average_depth(A.supplier_contigs(spark, d))
+    return G.average_depth(A.supplier_contigs(spark, d)).select(F.round("depth", 9).alias("depth"))
 
 
 @register("purge_by_depth", "SELECT name FROM ss WHERE cov >= 0.97 * (SELECT sum(cov * len) / sum(len) FROM ss)")
@@ -784,14 +787,14 @@ def bootstrap_support(spark, d):
     return RS.support(solved(spark, d))
 
 
-@register("replicate_spread", "SELECT c_nationkey AS cid, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS std FROM customer GROUP BY 1")
+@register("replicate_spread", "SELECT c_nationkey AS cid, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std FROM customer GROUP BY 1")
 def replicate_spread(spark, d):
-    return RS.spread(A.table(spark, d, "customer").select(F.col("c_nationkey").alias("cid"), F.col("c_acctbal").alias("prop")))
+    return RS.spread(A.table(spark, d, "customer").select(F.col("c_nationkey").alias("cid"), F.col("c_acctbal").alias("prop"))).select("cid", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @register("first_seen_ids", "SELECT cid, row_number() OVER (ORDER BY place, cid) AS fid FROM (SELECT c_nationkey AS cid, min(c_custkey) AS place FROM customer GROUP BY 1)")
 def first_seen_ids(spark, d):
-    return RS.first_seen(A.table(spark, d, "customer").select(F.col("c_nationkey").alias("cid"), F.col("c_custkey").alias("place")))
+    return RS.first_seen(A.table(spark, d, "customer").select(F.col("c_nationkey").alias("cid"), F.col("c_custkey").alias("place"))).withColumn("fid", F.col("fid").cast("long"))
 
 
 # --- conflicts ---
@@ -954,4 +957,140 @@ def block_table(spark, d):
     from ..operators import pangenome as PG
 
     # Every step is its own stretch here: positions of neighbours in a one-cell block never differ by one.
-    return PG.block_table(fixed_blocks(spark, d), best_variants(spark, d), A.contigs(spark, d), A.contig_links(spark, d), gap=100)
+    return PG.block_table(fixed_blocks(spark, d), best_variants(spark, d), A.contigs(spark, d), A.contig_links(spark, d), gap=100).withColumn("block", F.col("block").cast("long"))
+
+
+# --- small statistics, lookups and tables ---
+
+
+@register("weighted_mean_std", "WITH m AS (SELECT n_regionkey AS g, sum(c_acctbal * c_custkey) / sum(c_custkey) AS mu FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT g, round(any_value(mu), 6) AS mean, round(sqrt(sum(c_custkey * (c_acctbal - mu) * (c_acctbal - mu)) / sum(c_custkey)), 6) AS std FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN m ON g = n_regionkey GROUP BY g")
+def weighted_mean_std(spark, d):
+    rows = A.table(spark, d, "customer").join(A.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("g"), F.col("c_acctbal").alias("x"), F.col("c_custkey").alias("w"))
+    return ST.weighted(rows, "g", "x", "w").select("g", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@register("gcd_of_sizes", "SELECT c AS grp, g AS gcd FROM (SELECT l_partkey % 50 AS c, list_reduce(list((l_quantity * 6)::BIGINT), lambda a, b: gcd(a, b)) AS g FROM lineitem GROUP BY 1)")
+def gcd_of_sizes(spark, d):
+    li = A.table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("grp")).agg(F.collect_set((F.col("l_quantity") * 6).cast("long")).alias("v"))
+    return li.select("grp", T.gcd_of(F.col("v")).alias("gcd"))
+
+
+@register("harmony_weights", "SELECT s_suppkey AS id, round(pow(s_suppkey + 1, 0.5) / sum(pow(s_suppkey + 1, 0.5)) OVER (PARTITION BY s_nationkey), 9) AS weight FROM supplier")
+def harmony_weights(spark, d):
+    return A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(T.harmony_weights((F.col("s_suppkey") + 1).cast("double"), 0.5, "s_nationkey"), 9).alias("weight"))
+
+
+@register("breakpoint_lookup", "WITH b AS (SELECT list(DISTINCT o_custkey ORDER BY o_custkey) AS x FROM orders WHERE o_custkey % 7 = 0) SELECT c_custkey AS seek, len(list_filter(x, lambda v: v <= c_custkey)) - 1 AS idx, c_custkey - x[len(list_filter(x, lambda v: v <= c_custkey))] AS gap FROM customer, b")
+def breakpoint_lookup(spark, d):
+    breaks = A.table(spark, d, "orders").filter("o_custkey % 7 = 0").agg(F.array_sort(F.collect_set("o_custkey")).alias("x"))
+    got = A.table(spark, d, "customer").crossJoin(F.broadcast(breaks)).select(F.col("c_custkey").alias("seek"), T.index_in_breaks(F.col("x"), F.col("c_custkey")).alias("r"))
+    return got.select("seek", F.col("r.i").cast("long").alias("idx"), "r.gap")
+
+
+@register(
+    "transition_counts",
+    """WITH s AS (SELECT name, seq, unnest(range(1, len - 2)) AS i FROM ss)
+    SELECT substr(seq, i, 3) AS kmer, substr(seq, i + 3, 1) AS base, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY substr(seq, i, 3)), 9) AS share FROM s GROUP BY 1, 2""",
+)
+def transition_counts(spark, d):
+    return ST.transitions(A.supplier_contigs(spark, d), 3).select("kmer", "base", F.col("n").cast("long").alias("n"), F.round("share", 9).alias("share"))
+
+
+@register(
+    "path_offsets",
+    f"""WITH src AS (SELECT cid AS k, p FROM va), {LENS}
+    SELECT k AS cid, i - 1 AS vid, coalesce(sum(len - ov) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lens""",
+)
+def path_offsets(spark, d):
+    from ..operators import simulate as SI
+
+    got = SI.offsets(measured_variants(spark, d)).select("cid", F.posexplode("starts").alias("vid", "start"))
+    return got.select("cid", F.col("vid").cast("long").alias("vid"), "start")
+
+
+@register("copy_numbers", "SELECT cid, n, e, count(*) AS copies FROM (SELECT cid, s.n AS n, s.e AS e FROM (SELECT cid, unnest(p) AS s FROM va)) GROUP BY ALL")
+def copy_numbers(spark, d):
+    return A.variants(spark, d).select("cid", F.explode("path").alias("s")).select("cid", "s.n", "s.e").groupBy("cid", "n", "e").agg(F.count("*").alias("copies"))
+
+
+@register("lost_subpaths", f"WITH {SUB} SELECT {gaf('p')} AS path FROM (SELECT DISTINCT p FROM vs WHERE cid < 10 EXCEPT SELECT DISTINCT p FROM vs WHERE cid >= 10)")
+def lost_subpaths(spark, d):
+    every = subs(spark, d, False)
+    return every.filter("cid < 10").select("path").subtract(every.filter("cid >= 10").select("path")).select(Q(F.col("path")).alias("path"))
+
+
+@register("shared_contigs", "SELECT name FROM (SELECT s.n AS name FROM (SELECT cid, unnest(p) AS s FROM va) WHERE cid < 5 INTERSECT SELECT s.n FROM (SELECT cid, unnest(p) AS s FROM va) WHERE cid >= 5)")
+def shared_contigs(spark, d):
+    steps = A.variants(spark, d).select("cid", F.explode("path").alias("s")).select("cid", F.col("s.n").alias("name"))
+    return steps.filter("cid < 5").select("name").intersect(steps.filter("cid >= 5").select("name"))
+
+
+@register(
+    "variants_info",
+    f"""WITH {OBS}, fp AS (SELECT cid, list({{'p': {gaf('p')}, 'f': freq}} ORDER BY {gaf('p')}) AS f FROM ob GROUP BY cid),
+    g AS (SELECT vz.cid, min(vz.cid) OVER (PARTITION BY f, size) AS r FROM vz LEFT JOIN fp ON vz.cid = fp.cid),
+    u AS (SELECT r AS cid, array_to_string(list(cid ORDER BY cid), ',') AS u FROM g WHERE cid <> r GROUP BY r)
+    SELECT CASE WHEN vz.cid < 5 THEN (vz.cid + 1)::VARCHAR ELSE '*' END AS "FID", vz.cid AS "CID", coalesce(u, '*') AS "Unidentifiable_to_cid", len(ci.p)::INT AS "CONTIGS", size AS "BASES",
+      {bandage_sql('ci.p')} || CASE WHEN ci.circular THEN '(circular)' ELSE '' END AS "PATH" FROM vz JOIN ci ON vz.cid = ci.cid LEFT JOIN u ON u.cid = vz.cid""",
+)
+def variants_info(spark, d):
+    v = V.sizes(measured_variants(spark, d))
+    fids = v.filter("cid < 5").select("cid", (F.col("cid") + 1).alias("fid"))
+    return W.variant_info(fids, v, V.unidentifiable(subs(spark, d), v))
+
+
+@register(
+    "readpath_information",
+    f"""WITH {OBS} SELECT {gaf('sup.p')} AS path, {', '.join(f"coalesce(max(CASE WHEN cid = {c} THEN freq END), 0) AS fid_{c + 1}" for c in range(4))}, any_value(sup.n) AS num_reads
+    FROM sup LEFT JOIN ob ON ob.p = sup.p GROUP BY sup.p""",
+)
+def readpath_information(spark, d):
+    held = subs(spark, d).filter("cid < 4").select((F.col("cid") + 1).alias("fid"), "path", "freq")
+    return W.readpath_info(R.supported(R.count_paths(A.reads(spark, d)), 3).select("path", "n"), held, [1, 2, 3, 4])
+
+
+@register("replicate_table", f"""SELECT c_mktsegment AS rep, {', '.join(f'coalesce(round(avg(CASE WHEN c_nationkey = {k} THEN c_acctbal END), 6), 0) AS fid_{k}' for k in range(4))} FROM customer WHERE c_nationkey < 4 GROUP BY 1""")
+def replicate_table(spark, d):
+    c = A.table(spark, d, "customer").filter("c_nationkey < 4").groupBy(F.col("c_mktsegment").alias("rep"), F.col("c_nationkey").alias("fid")).agg(F.round(F.avg("c_acctbal"), 6).alias("prop"))
+    return W.replicate_table(c, [0, 1, 2, 3])
+
+
+@register(
+    "final_result",
+    f"""WITH {SOLVED}, s AS (SELECT rep, array_to_string(list(cid ORDER BY cid), ',') AS solution FROM rp2 GROUP BY rep), t AS (SELECT solution, count(*) / sum(count(*)) OVER () AS support FROM s GROUP BY solution),
+    f AS (SELECT s.solution, r.cid, count(*) / 100.0::DOUBLE AS prop FROM s JOIN rp2 r ON s.rep = r.rep GROUP BY ALL)
+    SELECT t.solution, t.support, {', '.join(f"coalesce(printf('%.4f', max(CASE WHEN cid = {k} THEN prop END)), '-') AS fid_{k}" for k in range(4))} FROM t JOIN f ON t.solution = f.solution GROUP BY 1, 2""",
+)
+def final_result(spark, d):
+    rows = solved(spark, d)
+    named = rows.groupBy("rep").agg(F.array_join(F.array_sort(F.collect_list("cid")), ",").alias("solution"))
+    props = rows.join(named, "rep").groupBy("solution", F.col("cid").alias("fid")).agg((F.count("*") / 100.0).alias("prop"))
+    return W.result_table(RS.support(rows), props, [0, 1, 2, 3])
+
+
+@register("gfa_segment_lines", "SELECT concat_ws(chr(9), 'S', name, seq, 'LN:i:' || len, 'RC:i:' || trunc(len * cov)::BIGINT) AS value FROM sg")
+def gfa_segment_lines(spark, d):
+    return W.gfa_lines(A.contigs(spark, d), A.contig_links(spark, d)).filter("part = 1").select("value")
+
+
+@register("fasta_lines", "SELECT name, '>' || name || chr(10) || array_to_string(list_transform(range(0, (len + 69) // 70), lambda i: substr(seq, i * 70 + 1, 70)), chr(10)) AS value FROM sg")
+def fasta_lines(spark, d):
+    return W.fasta_lines(A.contigs(spark, d).select(F.col("name").alias("label"), "seq")).select(F.col("key").alias("name"), "value")
+
+
+@register("walks")
+def walks(spark, d):
+    counts = R.supported(R.count_paths(A.reads(spark, d)), 3).select("path", "n")
+    w = SE.world(A.contigs(spark, d), A.contig_links(spark, d), counts)
+    got = SE.candidates(spark, w, SE.Settings(longest_alignment=LONGEST, longest_walk=60), 40)
+    return got.select(Q(F.col("path")).alias("path"), "circular", "n", "first")
+
+
+@register("simulated_reads")
+def simulated_reads(spark, d):
+    from ..operators import simulate as SI
+
+    v = measured_variants(spark, d).filter(F.size("path") > 2).join(best_props(spark, d).select("cid"), "cid", "left_semi")
+    n = v.count()
+    props = v.select("cid", (F.lit(1.0) / n).alias("prop"))
+    return SI.simulate(spark, v, props, SI.read_lengths(spark, 3000, 1500, 500_000)).select("record_id", Q(F.col("path")).alias("path"), "p_start", "p_end", "p_len", "cid")

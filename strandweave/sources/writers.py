@@ -71,7 +71,7 @@ def readpath_info(counts: DataFrame, subs: DataFrame, fids: list[int]) -> DataFr
 def result_table(solutions: DataFrame, props: DataFrame, fids: list[int]) -> DataFrame:
     """SOLUTIONS, BOOTSTRAP_SUPPORT, LOGLIKELIHOOD, criterion and a frequency for each FID. props: solution, fid, prop."""
     wide = props.groupBy("solution").pivot("fid", fids).agg(F.first("prop"))
-    return solutions.join(wide, "solution", "left").select(*solutions.columns, *[F.coalesce(F.format_string("%.4f", F.col(str(f))), F.lit("-")).alias(f"fid_{f}") for f in fids])
+    return solutions.join(wide, "solution", "left").select(*solutions.columns, *[F.when(F.col(str(f)).isNull(), "-").otherwise(F.format_string("%.4f", F.col(str(f)))).alias(f"fid_{f}") for f in fids])
 
 
 def replicate_table(props: DataFrame, fids: list[int]) -> DataFrame:
