@@ -859,8 +859,8 @@ def conflict_edges(spark, d):
 
 
 def best_variants(spark, d) -> DataFrame:
-    """The five variants of least cid with more than one step, with their topology."""
-    v = A.variants(spark, d).filter(F.size("path") > 1).withColumn("r", F.row_number().over(Window.orderBy("cid"))).filter("r <= 5").drop("r")
+    """The five variants of most steps (then least cid), with their topology."""
+    v = A.variants(spark, d).orderBy(F.desc(F.size("path")), "cid").limit(5)
     return G.circular(v, A.contig_links(spark, d))
 
 
@@ -868,7 +868,7 @@ def best_props(spark, d) -> DataFrame:
     return best_variants(spark, d).select("cid", (1 / (F.col("cid") + 1)).alias("prop"))
 
 
-BEST = f"bv AS (SELECT c.cid, c.p, c.circular FROM ({CIRC}) c JOIN (SELECT cid FROM va WHERE len(p) > 1 ORDER BY cid LIMIT 5) b ON c.cid = b.cid), bp AS (SELECT cid, 1.0::DOUBLE / (cid + 1) AS prop FROM bv)"
+BEST = f"bv AS (SELECT c.cid, c.p, c.circular FROM ({CIRC}) c JOIN (SELECT cid FROM va ORDER BY len(p) DESC, cid LIMIT 5) b ON c.cid = b.cid), bp AS (SELECT cid, 1.0::DOUBLE / (cid + 1) AS prop FROM bv)"
 #: A block table that SQL can state too: every step of a variant is its own block, shared by equal contig names.
 FIXED = "fb AS (SELECT cid, vid, dense_rank() OVER (ORDER BY n) - 1 AS block_id, 0 AS pos, e FROM (SELECT cid, i - 1 AS vid, p[i].n AS n, p[i].e AS e FROM bv, unnest(range(1, len(p) + 1)) AS r(i)))"
 
@@ -1090,7 +1090,7 @@ def walks(spark, d):
 def simulated_reads(spark, d):
     from ..operators import simulate as SI
 
-    v = measured_variants(spark, d).filter(F.size("path") > 2).join(best_props(spark, d).select("cid"), "cid", "left_semi")
+    v = measured_variants(spark, d).join(best_props(spark, d).select("cid"), "cid", "left_semi")
     n = v.count()
     props = v.select("cid", (F.lit(1.0) / n).alias("prop"))
     return SI.simulate(spark, v, props, SI.read_lengths(spark, 3000, 1500, 500_000)).select("record_id", Q(F.col("path")).alias("path"), "p_start", "p_end", "p_len", "cid")
