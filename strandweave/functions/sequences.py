@@ -34,6 +34,21 @@ def cigar_ops(c: Column) -> Column:
     return F.zip_with(lens, ops, lambda n, o: F.struct(n.cast("int").alias("len"), o.alias("op")))
 
 
+def gapped(query: Column, reference: Column, cigar: Column) -> Column:
+    """struct<query, reference>: both sequences of an alignment with gaps as dashes; operations other than ``=XID`` are an
+    error."""
+    zero = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit("").alias("q"), F.lit("").alias("r"))
+
+    def add(a: Column, x: Column) -> Column:
+        n, op = x["len"], x["op"]
+        bad = F.raise_error(F.concat(F.lit("unsupported operation "), op)).cast("string")
+        q = F.when(op.isin("=", "X", "I"), F.substring(query, a["i"], n)).when(op == "D", F.repeat(F.lit("-"), n)).otherwise(bad)
+        r = F.when(op.isin("=", "X", "D"), F.substring(reference, a["j"], n)).otherwise(F.repeat(F.lit("-"), n))
+        return F.struct((a["i"] + F.when(op == "D", 0).otherwise(n)).alias("i"), (a["j"] + F.when(op == "I", 0).otherwise(n)).alias("j"), F.concat(a["q"], q).alias("q"), F.concat(a["r"], r).alias("r"))
+
+    return F.aggregate(cigar_ops(cigar), zero, add, lambda a: F.struct(a["q"].alias("query"), a["r"].alias("reference")))
+
+
 def orf_lengths(s: Column, threshold: int = 200, frame: int | None = None) -> Column:
     """Lengths of the reading frames of the best of three frames (by total length, then the first). A frame opens at a
     start codon and closes at a stop codon, and only then must have ``threshold`` bases; one that the end

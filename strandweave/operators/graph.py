@@ -342,3 +342,50 @@ def subgraph_around(segments: DataFrame, links: DataFrame, baits: DataFrame, bud
         if now == before:
             return best
         before = now
+
+
+def no_leak(paths: DataFrame, links: DataFrame, key: str = "pid") -> DataFrame:
+    """key, closed: whether all links of a path's contigs, but for its two outer ends, stay among its contigs."""
+    n = F.size("path")
+    steps = paths.select(key, "path", n.alias("n"), F.posexplode("path").alias("i", "s")).select(key, "i", "n", F.col("s.n").alias("v1"), F.col("s.e").alias("e"), F.transform("path", lambda x: x["n"]).alias("names"))
+    sides = steps.select(key, "names", "v1", F.explode(F.array(F.struct(F.col("e").alias("e1"), (F.col("i") == F.col("n") - 1).alias("outer")), F.struct((~F.col("e")).alias("e1"), (F.col("i") == 0).alias("outer")))).alias("x")).select(key, "names", "v1", "x.e1", "x.outer").filter("not outer")
+    leaks = sides.join(links.select("v1", "e1", "v2"), ["v1", "e1"]).filter(~F.array_contains("names", F.col("v2"))).select(key).distinct().withColumn("leak", F.lit(True))
+    return paths.join(leaks, key, "left").select(key, F.col("leak").isNull().alias("closed"))
+
+
+def reached(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """name, e, hops: contig ends that walks from ``starts`` (name, e: leaving by end e) enter and leave again, with the
+    least number of links. Rounds of joins keep only newly reached ends."""
+    seen = checkpointed(starts.select("name", "e", F.lit(0).alias("hops")).distinct())
+    front, hops = seen, 0
+    while front.limit(1).count():
+        hops += 1
+        step = front.join(links, (F.col("name") == F.col("v1")) & (F.col("e") == F.col("e1"))).select(F.col("v2").alias("name"), (~F.col("e2")).alias("e")).distinct()
+        front = checkpointed(step.join(seen.select("name", "e"), ["name", "e"], "left_anti").withColumn("hops", F.lit(hops)))
+        seen = checkpointed(seen.unionByName(front))
+    return seen
+
+
+def in_between(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Contigs on some walk from a contig of ``left`` to one of ``right`` (both: name, e, the end or way by which the walk
+    leaves left and arrives at right). Tags spread to them."""
+    ahead = reached(links, left).filter("hops > 0").select("name", "e")
+    back = reached(links, right.select("name", (~F.col("e")).alias("e"))).filter("hops > 0").select("name", (~F.col("e")).alias("e"))
+    ends = left.select("name").union(right.select("name"))
+    return ahead.join(back, ["name", "e"], "left_semi").select("name").distinct().join(ends, "name", "left_anti")
+
+
+def sequential_repeats(segments: DataFrame, links: DataFrame) -> DataFrame:
+    """Contigs that a walk can enter again from their own tail: repeats in a row or in a circle. name, hops of the least
+    such walk."""
+    # Only contigs that branch on both ends can repeat in a row; each is searched for from its own tail.
+    both = branching_ends(links).groupBy("name").agg(F.count_distinct("e").alias("k")).filter("k = 2").select(F.col("name").alias("v1")).join(segments.select(F.col("name").alias("v1")), "v1", "left_semi")
+    loops = both.join(links.filter("e1"), "v1").select(F.col("v1").alias("origin"), F.col("v2").alias("name"), (~F.col("e2")).alias("e"), F.lit(1).alias("hops"))
+    seen = checkpointed(loops.distinct())
+    front, hops = seen, 1
+    while front.limit(1).count():
+        hops += 1
+        step = front.join(links, (F.col("name") == F.col("v1")) & (F.col("e") == F.col("e1"))).select("origin", F.col("v2").alias("name"), (~F.col("e2")).alias("e")).distinct()
+        front = checkpointed(step.join(seen.select("origin", "name", "e"), ["origin", "name", "e"], "left_anti").withColumn("hops", F.lit(hops)))
+        seen = checkpointed(seen.unionByName(front))
+    return seen.filter((F.col("origin") == F.col("name")) & F.col("e")).groupBy("name").agg(F.min("hops").alias("hops"))

@@ -5,9 +5,11 @@ A block is a run of cells; a cell names one step of each variant that the block
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def copy_distribution(variants: DataFrame) -> DataFrame:
     return per.groupBy("name").agg(F.max("c").alias("max_copies"), F.count("*").alias("n_variants"))
 
 
+def combinations(sizes: list[int], most: int = MOST_COMBINATIONS, seed: int = 12345) -> list[tuple[int, ...]]:
+    """Index combinations of lists of these sizes: all of them, or ``most`` different seeded draws where there are more."""
+    if math.prod(sizes) <= most:
+        return list(product(*[range(n) for n in sizes]))
+    rng = np.random.default_rng(seed)
+    out: dict[tuple[int, ...], None] = {}
+    while len(out) < most:
+        out[tuple(int(rng.integers(n)) for n in sizes)] = None
+    return list(out)
+
+
 class Blocks:
     """Greedy search for co-linear blocks in a handful of best variants."""
 
@@ -73,10 +86,9 @@ class Blocks:
             if self.paths[p][v][0] == name:
                 places[p].append((p, v))
         out = {}
-        for k, combination in enumerate(product(*[places[p] for p in sorted(places)])):
-            if k >= MOST_COMBINATIONS:
-                break
-            b = self.grow(list(combination))
+        held = [places[p] for p in sorted(places)]
+        for chosen in combinations([len(x) for x in held]):
+            b = self.grow([x[i] for x, i in zip(held, chosen, strict=True)])
             out[tuple(tuple(c) for c in b)] = b
         return list(out.values())
 

@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def draw(key: Column, n: Column) -> Column:
     """A number from 0 to n - 1 that follows from the key's md5."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long") % n
 
 
+def numbered(records: DataFrame, *order: str) -> DataFrame:
+    """Adds ``idx``, gapless from 0 in the order of the columns, without gathering the rows in one task: they are range
+    partitioned and sorted, and each partition starts where the ones before it end."""
+    placed = checkpointed(records.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("m", F.monotonically_increasing_id())
+    placed = placed.withColumn("part", F.shiftright("m", 33)).withColumn("at", F.col("m").bitwiseAND((1 << 33) - 1))
+    ahead = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(ahead, F.lit(0)).alias("start"))  # a row a partition
+    return placed.join(F.broadcast(starts), "part").withColumn("idx", F.col("start") + F.col("at")).drop("m", "part", "at", "start")
+
+
 def bootstrap(records: DataFrame, replicates: int, seed: int = 12345) -> DataFrame:
     """rep, idx, n: how often each record (``idx`` from 0, gapless) is drawn in each replicate; every replicate draws as
     many as there are. One job for all replicates."""

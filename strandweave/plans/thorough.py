@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import alignments as AL
 from ..operators import bins as B
+from ..operators import conflicts as C
 from ..operators import graph as G
 from ..operators import model as M
 from ..operators import pangenome as PG
@@ -54,6 +55,9 @@ class Options:
     prune_terminal: bool = False
     merge_contigs: bool = False
     keep_unaligned: bool = False
+    check_conflicts: str = "ignore"
+    min_consensus_reads: int = 5
+    gmm_max_std: float = 50.0
     mcmc: int = 0
     burn: int = 1000
     previous: str = "terminate"
@@ -102,6 +106,8 @@ def thorough(spark: SparkSession, o: Options) -> Result:
         got = AL.auto_identity(AL.by_read(records), graph_len.first()[0] * o.depth_goal, 5000 if length < 0 else length, 0.95 if identity < 0 else identity, id_end=None if identity < 0 else 1e-5).first()
         identity, length = (0.95 if identity < 0 else identity) + got["id_adj"], (5000 if length < 0 else length) + got["ln_adj"]
     records = G.checkpointed(AL.filter_reads(records, length, identity))
+    if o.check_conflicts != "ignore":
+        conflicts(spark, o, records, segments, links)
     least = o.min_align_counts if o.min_align_counts >= 0 else AL.auto_counts(records, graph_len).first()[0]
     rows = records.select("record_id", P.canonical(F.col("path")).alias("path"), F.col("p_align_len").alias("len"), P.to_gaf(P.canonical(F.col("path"))).alias("pid"))
     if o.use_align_cov:
@@ -160,6 +166,28 @@ def thorough(spark: SparkSession, o: Options) -> Result:
     return out
 
 
+def conflicts(spark: SparkSession, o: Options, records: DataFrame, segments: DataFrame, links: DataFrame) -> None:
+    """Look for windows in which more reads break off than chance allows. With ``error`` such windows stop the run; with
+    ``add`` the jumped-over links are added inside the contigs, and graph and table are written for a new alignment."""
+    ends = AL.sort_records(records).select("query_name", "go_r", F.get("path", F.lit(0))["n"].alias("first_n"), F.get("path", F.lit(0))["e"].alias("first_e"), F.element_at("path", -1)["n"].alias("last_n"), F.element_at("path", -1)["e"].alias("last_e"), "p_len", "p_start", "p_end")
+    found = G.checkpointed(C.sites(ends, segments))
+    total = found.count()
+    if not total:
+        return
+    bins = segments.agg(F.sum(C.window_count(F.col("len")))).first()[0]
+    limit = max(o.min_consensus_reads, C.max_load_threshold(spark, bins, total, seed=o.seed))
+    loads = C.most_loaded(C.window_loads(found, segments), limit)
+    if not loads.limit(1).count():
+        return
+    edges = G.checkpointed(C.candidate_edges(found, C.breakpoints(found, o.gmm_max_std), limit))
+    if o.check_conflicts == "add" and o.output:
+        edges.coalesce(1).write.mode("overwrite").option("header", "true").option("sep", "\t").csv(f"{o.output}/conflict_edges.tab")
+        segs, new = G.add_inner_edges(segments, links, edges.drop("reads"))
+        writers.write_lines(writers.gfa_lines(G.checkpointed(segs), G.checkpointed(new)), f"{o.output}/add_conflicts.gfa")
+        raise ValueError(f"alignments conflict with the graph; align again to {o.output}/add_conflicts.gfa")
+    raise ValueError(f"alignments conflict with the graph: over {limit} reads break off in one window")
+
+
 def prepare(o: Options) -> None:
     if os.path.isdir(o.output) and os.listdir(o.output) and o.previous == "terminate":
         raise FileExistsError(f"{o.output} isn't empty; choose resume or overwrite")
@@ -183,10 +211,8 @@ def support(spark: SparkSession, out: Result, cells: M.Cells, reads: DataFrame,
     """Refit every replicate of the bootstrap. All replicates are drawn and binned in one job; a replicate's cells are a
     row for each bin and sub-path, and each fit is one group."""
     o = out.options
-    per = reads.groupBy("path", "len").agg(F.count("*").alias("n"))
-    numbered = reads.select("path", "len", (F.row_number().over(Window.orderBy("record_id")) - 1).cast("long").alias("idx"))
-    drawn = RS.bootstrap(G.checkpointed(numbered).select("idx"), o.bootstrap, o.seed).join(numbered, "idx").groupBy("rep", "path").agg(F.sum("n").alias("x"))
-    del per
+    numbered = RS.numbered(reads.select("record_id", "path"), "record_id")
+    drawn = RS.bootstrap(numbered.select("idx"), o.bootstrap, o.seed).join(numbered, "idx").groupBy("rep", "path").agg(F.sum("n").alias("x"))
     freq = {}
     for r in subs.select("cid", "path", "freq").collect():
         freq.setdefault(tuple(tuple(s) for s in r["path"]), {})[r["cid"]] = r["freq"]

@@ -102,3 +102,39 @@ def test_blocks_hold_every_step_once():
     steps = sorted((p, v) for bl in blocks for cell in bl for p, v, _ in cell)
     assert steps == [(p, v) for p in (0, 1) for v in range(3)]
     assert max(len(bl) for bl in blocks) == 2
+
+
+def test_gapped_alignment(spark):
+    from strandweave.functions import sequences as S
+
+    df = spark.createDataFrame([("ACGTT", "ACTTA", "2=1I1=1X1D")], "q string, r string, c string")
+    assert tuple(df.select(S.gapped(F.col("q"), F.col("r"), F.col("c")).alias("x")).first()["x"]) == ("ACGTT-", "AC-TTA")
+    with pytest.raises(Exception, match="unsupported operation"):
+        df.select(S.gapped(F.col("q"), F.col("r"), F.lit("2M"))).collect()
+
+
+def test_combinations():
+    assert PG.combinations([2, 3]) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
+    many = PG.combinations([50, 50, 50], most=100)
+    assert len(set(many)) == 100 and many == PG.combinations([50, 50, 50], most=100)
+
+
+def test_leaks_and_in_between(spark):
+    s, l = graph(spark, list("abcdx"), [("a", True, "b", False, 0), ("b", True, "c", False, 0), ("c", True, "d", False, 0), ("b", True, "x", False, 0)])
+    step = lambda p: [(n, True) for n in p]
+    paths = spark.createDataFrame([(1, step("abc")), (2, step("bcd")), (3, step("ab"))], "pid int, path array<struct<n:string,e:boolean>>")
+    assert {r["pid"]: r["closed"] for r in G.no_leak(paths, l).collect()} == {1: False, 2: False, 3: True}
+    ends = lambda n: spark.createDataFrame([(n, True)], "name string, e boolean")
+    assert {r["name"] for r in G.in_between(l, ends("a"), ends("d")).collect()} == {"b", "c"}
+
+
+def test_sequential_repeats(spark):
+    s, l = graph(spark, list("abcr"), [("a", True, "r", False, 0), ("r", True, "b", False, 0), ("r", True, "c", False, 0), ("b", True, "r", False, 0)])
+    assert [(r["name"], r["hops"]) for r in G.sequential_repeats(s, l).collect()] == [("r", 2)]
+
+
+def test_numbering_is_gapless_and_ordered(spark):
+    from strandweave.operators import resample as RS
+
+    rows = RS.numbered(spark.range(500).selectExpr("(id * 37) % 500 AS k").repartition(7), "k").collect()
+    assert sorted((r["k"], r["idx"]) for r in rows) == [(i, i) for i in range(500)]
