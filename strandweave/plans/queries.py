@@ -660,8 +660,8 @@ def length_bins(spark, d):
 
 
 def cells(spark, d) -> DataFrame:
-    de, rl = described(spark, d), read_lengths(spark, d)
-    return B.cells(B.length_bins(de, rl), de, rl)
+    de, rl = G.checkpointed(described(spark, d)), read_lengths(spark, d)
+    return B.cells(G.checkpointed(B.length_bins(de, rl)), de, rl)
 
 
 @register("bin_cells", f"WITH {CELLS} SELECT bin_id, {gaf('p')} AS path, num_matched, round(num_possible_x, 6) AS num_possible_x FROM ce")
