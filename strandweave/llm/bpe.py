@@ -16,6 +16,7 @@ strings are ordinary text. Ids travel as binary: little-endian unsigned 32-bit i
 from __future__ import annotations
 
 import base64
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .common import map_rows
 #: Longest piece, in bytes, that is merged directly.
 LEAF = 48
 #: Remembered pieces of a task, cleared when full.
-MEMO = 150_000
+MEMO = 250_000
 
 
 class Encoder:
@@ -36,7 +37,6 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF):
         self.ranks, self.leaf = ranks, leaf
-        self.memo: dict[bytes, tuple[int, ...]] = {}
         self.stable: dict[tuple[int, int], bool] = {}
         self.token = {i: b for b, i in ranks.items()}
 
@@ -86,16 +86,9 @@ class Encoder:
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
-    def piece(self, piece: bytes) -> tuple[int, ...]:
-        found = self.memo.get(piece)
-        if found is None:
-            whole = self.ranks.get(piece)
-            found = (whole,) if whole is not None else tuple(self.tree(piece))
-            if len(piece) <= 256:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[piece] = found
-        return found
+    def piece(self, piece: bytes) -> list[int]:
+        whole = self.ranks.get(piece)
+        return [whole] if whole is not None else self.tree(piece)
 
 
 def read_ranks(path: str) -> bytes:
@@ -115,17 +108,20 @@ def encode(df: DataFrame, text_col: str, ranks_path: str, pattern: str) -> DataF
     def make():
         encoder = Encoder(parse_ranks(content.value))
         split = regex.compile(pattern)
-        memo, piece = encoder.memo, encoder.piece
+        memo: dict[str, bytes] = {}
+
+        def packed(piece: str) -> bytes:
+            made = encoder.piece(piece.encode("utf-8", "surrogatepass"))
+            out = struct.pack(f"<{len(made)}I", *made)
+            if len(piece) <= 128:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                memo[piece] = out
+            return out
 
         def ids(text: str | None) -> bytes:
-            if not text:
-                return b""
-            got: list[int] = []
-            add = got.extend
-            for p in split.findall(text):
-                b = p.encode("utf-8", "surrogatepass")
-                add(memo.get(b) or piece(b))
-            return np.asarray(got, dtype="<u4").tobytes()
+            get = memo.get
+            return b"".join([get(p) or packed(p) for p in split.findall(text)]) if text else b""
 
         return lambda a: [pa.array(map(ids, a["text"].to_pylist()), pa.binary())]
 
