@@ -1,0 +1,199 @@
+"""Near copies by exact Jaccard similarity of five-word shingle sets.
+
+Texts of equal shingle set form a class, and only classes are compared. In one order of all shingles (those seen often in
+a sample last, then by hash) two sets of similarity 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of
+each, so an inverted index of these prefixes finds every such pair; bounds by set size and by place in the order thin
+the candidates, and what remains is verified on the whole sets. The sample decides the order only and never the result.
+
+Candidates come in two rounds: first neighbours by size under each shingle, which already joins groups of many near
+copies; then all pairs under a shingle whose members are not in one component yet. Only links are kept, and
+their components are joined in Spark.
+
+Defined cases: words are those of ``simhash``; texts of fewer than five words have one shingle; texts without words (null
+and empty ones too) have the empty set and form one class; a null id takes part but never names a component (a component
+of null ids only has a null name); an empty table gives an empty result. Shingles and sets are compared by 64 bits of hash.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut, map_rows, release, small_batches, written
+from .components import components
+from .simhash import SEED
+
+SHINGLE = 5
+#: The similarity as a fraction, so that no rounding decides.
+NUM, DEN = 4, 5
+#: Documents of the sample that orders the shingles, and the most shingles it may set behind the others.
+SAMPLE, COMMON = 5000, 500_000
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    if len(words) < size:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64).view(np.int64)
+    grams = map(b" ".join, zip(*[words[k:] for k in range(size)], strict=False))
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(words) - size + 1).view(np.int64))
+
+
+def class_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit name of a shingle set."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles that come first in the order, as many as a similar set can't avoid."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    often = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))][: n - -(-NUM * n // DEN) + 1]
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DEN * both >= NUM * (len(x) + len(y) - both)
+
+
+def flat(lists: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, lists)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]), pa.int64()))
+
+
+def classes(docs: DataFrame, text_col: str) -> DataFrame:
+    """Struct ``row`` (as given) and struct ``out`` with ``fp``, the name of the text's class."""
+
+    def make():
+        return lambda a: [pa.array([class_of(shingles(t)) for t in a["text"].to_pylist()], pa.int64())]
+
+    return map_rows(docs, {"text": text_col}, make, T.StructType([T.StructField("fp", T.LongType())]))
+
+
+def sets_of(texts: DataFrame) -> DataFrame:
+    """fp and hashes (the whole set) of every row of ``text``."""
+
+    def make():
+        def call(a):
+            got = [shingles(t) for t in a["text"].to_pylist()]
+            return [pa.array([class_of(h) for h in got], pa.int64()), flat(got)]
+
+        return call
+
+    return map_rows(texts, {"text": "text"}, make, T.StructType([T.StructField("fp", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])).select("out.*")
+
+
+def shingle_order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several classes of a sample hold, in order of hash, and how many hold them."""
+    step = max(1, texts.count() // SAMPLE)
+    held = sets_of(texts.filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)).dropDuplicates(["fp"])
+    often = held.select(F.explode("hashes").alias("h")).groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas().sort_values("h")
+    return often["h"].to_numpy(np.int64), often["count"].to_numpy(np.int64)
+
+
+def named_rows(texts: DataFrame) -> DataFrame:
+    """doc_id, th (a hash of the text) and fp of every row."""
+    return classes(texts, "text").select("row.doc_id", F.xxhash64("row.text").alias("th"), "out.fp")
+
+
+def texts_of(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """fp and text of one document of every class of ``names`` (fp, th). Other texts are left out before the exchange."""
+    wanted = texts.sparkSession.sparkContext.broadcast(np.sort(names.select("th").toPandas()["th"].to_numpy(np.int64)))
+
+    def some(batches):
+        for b in batches:
+            yield b.filter(pa.array(np.isin(b.column(0).to_numpy(), wanted.value)))
+
+    small_batches(texts.sparkSession)
+    return texts.select(F.xxhash64("text").alias("th"), "text").mapInArrow(some, "th long, text string").dropDuplicates(["th"]).join(names.select("fp", "th"), "th").select("fp", "text")
+
+
+def posts(texts: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """fp, size, pos and h: the prefix of every class, as far as another class has the shingle in its own."""
+    sent = texts.sparkSession.sparkContext.broadcast(order)
+
+    def make():
+        common, counts = sent.value
+
+        def call(a):
+            got = [shingles(t) for t in a["text"].to_pylist()]
+            return [pa.array([class_of(h) for h in got], pa.int64()), pa.array(list(map(len, got)), pa.int32()), flat([prefix(h, common, counts) for h in got])]
+
+        return call
+
+    out = T.StructType([T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    same = Window.partitionBy("h")
+    several = F.min("fp").over(same) < F.max("fp").over(same)
+    posted = map_rows(texts, {"text": "text"}, make, out).select("out.fp", "out.size", F.posexplode("out.prefix").alias("pos", "h"))
+    return written(posted.withColumn("several", several).filter("several").drop("several").distinct())
+
+
+def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar. Texts travel and not sets: they are smaller when packed."""
+    pairs = cut(pairs)
+    release(pairs.sparkSession)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    held = texts_of(texts, cut(names.join(asked, "fp", "left_semi")))
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+
+    def check(batches):
+        last, y = None, None
+        for b in batches:
+            keep = []
+            for i in range(b.num_rows):
+                if last != b.column(1)[i].as_py():
+                    last, y = b.column(1)[i].as_py(), shingles(b.column(3)[i].as_py())
+                keep.append(similar(shingles(b.column(2)[i].as_py()), y))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    small_batches(pairs.sparkSession)
+    return written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+
+
+def fits(x: str, y: str):
+    """Whether two sets of these sizes, which share a shingle at these places of the order, can be similar."""
+    sx, sy, px, py = F.col(f"{x}.size"), F.col(f"{y}.size"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
+    return (DEN * F.least(sx, sy) >= NUM * F.greatest(sx, sy)) & ((NUM + DEN) * F.least(sx - px, sy - py) >= NUM * (sx + sy))
+
+
+def links(texts: DataFrame, names: DataFrame, posted: DataFrame) -> DataFrame:
+    """Links (a, b) between classes, enough to join all that are similar."""
+    member = F.struct("size", "fp", "pos")
+    ranked = posted.groupBy("h").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    beside = ranked.select(F.explode(F.expr("transform(sequence(1, size(m) - 1), i -> struct(m[i - 1] as x, m[i] as y))")).alias("p")).select("p.*")
+    pair = lambda x, y: (F.least(f"{x}.fp", f"{y}.fp").alias("a"), F.greatest(f"{x}.fp", f"{y}.fp").alias("b"))
+    first = verified(beside.filter(fits("x", "y")).select(*pair("x", "y")).distinct(), texts, names)
+
+    # Under a shingle whose members are of several components, the members outside the largest one meet all others.
+    roots = components(first).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    placed = posted.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    shares = placed.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("h", "main")
+    placed = cut(placed.join(shares, "h"))
+    x, y = placed.filter("root <> main").alias("x"), placed.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp")))
+    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & apart & fits("x", "y")).select(*pair("x", "y")).distinct()
+    return first.unionByName(verified(rest, texts, names))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (its class) and component_id (the least id that links reach)."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = cut(named_rows(texts))
+    names = cut(rows.groupBy("fp").agg(F.min("th").alias("th"), F.min("doc_id").alias("least")))
+    roots = components(links(texts, names, posts(texts, shingle_order(texts)))).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    named = names.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = named.select("fp", "root").join(by_root, "root").select("fp", "component_id")
+    return rows.select("doc_id", "fp").join(by_class, "fp").select("doc_id", "fp", "component_id")
