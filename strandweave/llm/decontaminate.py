@@ -9,7 +9,7 @@ one word.
 Words are maximal runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased.
 
 Defined cases: a null or empty text has no words and no hits; a null or empty item, or one without words,
-has no windows; items with a null id are left out; repeated items count once by id; a window that
+has no windows; items with a null id are left out, or, with ``nameless``, their windows are hits that name no item; repeated items count once by id; a window that
 several items share belongs to all of them; an empty benchmark hits nothing. The benchmark goes to the
 workers in blocks of at most ``BLOCK_BYTES`` of item text, and each block makes one pass over the
 documents without a shuffle, so memory is bounded however large the benchmark is.
@@ -95,11 +95,13 @@ class Searcher:
             at += 1
 
 
-def searchers(items: list[tuple[str, str]], window: int, table: bytes) -> list[Searcher]:
+def searchers(items: list[tuple[str | None, str]], window: int, table: bytes) -> list[Searcher]:
     by_length: dict[int, dict] = defaultdict(lambda: defaultdict(set))
     for item, text in items:
         for w in windows_of(words_of(text, table), window):
-            by_length[len(w)][w].add(item)
+            own = by_length[len(w)][w]
+            if item is not None:
+                own.add(item)
     return [Searcher(n, {p: frozenset(i) for p, i in ps.items()}) for n, ps in sorted(by_length.items())]
 
 
@@ -114,9 +116,9 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[dict]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple[str, str]]]:
+def blocks_of(benchmark: DataFrame, item: str, text: str, limit: int, nameless: bool = False) -> list[list[tuple[str | None, str]]]:
     """The benchmark in blocks of at most ``limit`` bytes of text (or one item), brought to the driver one at a time."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).filter("t is not null" if nameless else "i is not null and t is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     count = max(1, -(-2 * total // limit)) if total > limit else 1
     for k in range(count):
@@ -124,12 +126,12 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, limit: int) -> list[li
         yield [(r["i"], r["t"]) for r in part.collect()]
 
 
-def find_contamination(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """Every row with what of it occurs in the benchmark: structs ``row`` (as given) and ``out`` (n_words; spans, the
     disjoint word ranges hit; items, the ids with occurring windows, as strings)."""
     spark = docs.sparkSession
     out, first = docs, True
-    for items in blocks_of(benchmark, item_col, item_text, block_bytes):
+    for items in blocks_of(benchmark, item_col, item_text, block_bytes, nameless):
         shipped = spark.sparkContext.broadcast(items)  # at most block_bytes of text
 
         def make(shipped=shipped):
