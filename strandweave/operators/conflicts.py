@@ -91,13 +91,13 @@ class Mixture:
         return top + np.log(np.exp(parts - top).sum(1, keepdims=True))
 
     def fit(self, values, counts=None) -> Mixture:
-        """``counts`` says how often each value occurs. More components are tried until five in a row bring nothing."""
+        """``counts`` says how often each value occurs. Every number of components up to that of distinct values is tried."""
         x, c = np.asarray(values, float), np.ones(len(values)) if counts is None else np.asarray(counts, float)
         x, back = np.unique(x, return_inverse=True)
         c = np.bincount(back, c)
         n = c.sum()
         start = float(np.sqrt((c * (x - (c * x).sum() / n) ** 2).sum() / n))
-        best, idle = np.inf, 0
+        best = np.inf
         for k in range(1, len(x) + 1):
             means = np.unique(np.quantile(x, (np.arange(k) + 0.5) / k, method="nearest"))
             std, weights, last = min(start, self.max_std), np.full(len(means), 1 / len(means)), -np.inf
@@ -119,11 +119,8 @@ class Mixture:
                 last = now
             loglik = float((c * self._norm(self._log_parts(x, means, std, weights))[:, 0]).sum())
             score = -2 * loglik + 2 * len(means) * np.log(n)
-            idle += 1
             if score < best - 1e-9:
-                best, self.means, self.std, self.weights, idle = score, means, std, weights, 0
-            if idle >= 5:
-                break
+                best, self.means, self.std, self.weights = score, means, std, weights
         return self
 
     def predict(self, values) -> np.ndarray:
