@@ -716,17 +716,6 @@ def model_cells(spark, d) -> M.Cells:
     return M.gather(B.usable(cells(spark, d)), subs(spark, d).join(sized.select("cid"), "cid"), sized)
 
 
-def chosen_variants(spark, d, most: int = 8) -> M.Cells:
-    """The model of the variants that share in it most; the query's own choice, not a limit of the operators."""
-    c = model_cells(spark, d)
-    fit = c.fit(c.cids)
-    keep = sorted(sorted(range(len(c.cids)), key=lambda i: -fit.props[i])[:most])
-    cids = [c.cids[i] for i in keep]
-    freq = c.freq[:, keep]
-    rows = freq.sum(1) > 0
-    return M.Cells(c.x[rows], c.possible[rows], freq[rows], c.sizes[keep], cids)
-
-
 @register("fitted_proportions")
 def fitted_proportions(spark, d):
     c = model_cells(spark, d)
@@ -736,13 +725,13 @@ def fitted_proportions(spark, d):
 
 @register("selected_model")
 def selected_model(spark, d):
-    fit = chosen_variants(spark, d).select("BIC")
+    fit = model_cells(spark, d).select("BIC")
     return spark.createDataFrame([(int(x), round(float(p), 6), round(fit.criterion("BIC"), 4)) for x, p in zip(fit.cids, fit.props, strict=True)], "cid int, prop double, bic double")
 
 
 @register("mcmc_means")
 def mcmc_means(spark, d):
-    c = chosen_variants(spark, d, 4)
+    c = model_cells(spark, d)
     walk = M.metropolis
 
     def run(batches):
