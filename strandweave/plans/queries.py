@@ -886,7 +886,8 @@ def vertex_copy_distribution(spark, d):
 def colinear_blocks(spark, d):
     from ..operators import pangenome as PG
 
-    return PG.colinear_blocks(best_variants(spark, d), best_props(spark, d), A.contigs(spark, d))
+    every = G.circular(A.variants(spark, d), A.contig_links(spark, d))
+    return PG.colinear_blocks(every, every.select("cid", (1 / (F.col("cid") + 1)).alias("prop")), A.contigs(spark, d))
 
 
 @register(
@@ -1079,7 +1080,7 @@ def walks(spark, d):
 def simulated_reads(spark, d):
     from ..operators import simulate as SI
 
-    v = measured_variants(spark, d).join(best_props(spark, d).select("cid"), "cid", "left_semi")
+    v = measured_variants(spark, d)
     n = v.count()
     props = v.select("cid", (F.lit(1.0) / n).alias("prop"))
     return SI.simulate(spark, v, props, SI.read_lengths(spark, 3000, 1500, 500_000)).select("record_id", Q(F.col("path")).alias("path"), "p_start", "p_end", "p_len", "cid")
