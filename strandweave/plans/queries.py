@@ -829,8 +829,10 @@ def conflict_max_load(spark, d):
 
 @register("max_load_threshold")
 def max_load_threshold(spark, d):
-    n = A.contigs(spark, d).agg(F.sum(C.window_count(F.col("len")))).first()[0]
-    return spark.createDataFrame([(C.max_load_threshold(spark, n, 1000, 20_000),)], "load int")
+    s = A.contigs(spark, d)
+    n = s.agg(F.sum(C.window_count(F.col("len")))).first()[0]
+    found = C.sites(conflict_records(spark, d), s).count()
+    return spark.createDataFrame([(C.max_load_threshold(spark, n, found),)], "load int")
 
 
 @register("gmm_breakpoints")
@@ -1071,8 +1073,7 @@ def fasta_lines(spark, d):
 @register("walks")
 def walks(spark, d):
     counts = R.supported(R.count_paths(A.reads(spark, d)), 3).select("path", "n")
-    w = SE.world(A.contigs(spark, d), A.contig_links(spark, d), counts)
-    got = SE.candidates(spark, w, SE.Settings(longest_alignment=LONGEST, longest_walk=60), 40)
+    got = SE.search(spark, A.contigs(spark, d), A.contig_links(spark, d), counts, SE.Settings(longest_alignment=LONGEST, longest_walk=60))
     return got.select(Q(F.col("path")).alias("path"), "circular", "n", "first")
 
 
