@@ -1,8 +1,8 @@
 """Chat formatting by quotation linking.
 
 A message's lines carry quote levels: the number of ``>`` marks at their start. A quoted passage is a run of lines of
-one level. Passages are normalised (marks off, white space runs to one blank, A-Z in lower case) and hashed, whole
-and line by line, and joined within the conversation to the message that first wrote the same text (whole, a
+one level. Passages are normalised (marks off, white space runs to one blank, A-Z in lower case) and hashed, whole,
+by paragraph and line by line, and joined within the conversation to the message that first wrote the same text (whole, a
 paragraph or a line). A message replies to the latest message that its level-1 passages lead to; without one it
 replies to the message of the turn before. Conversations come out in reply order: every message stands after the one it
 replies to, with its quotes and their attribution lines taken out.
@@ -90,8 +90,8 @@ def parse_rows(rows: DataFrame, text_col: str) -> DataFrame:
             content, units, passages = parse(text)
             quotes = []
             for i, (level, p) in enumerate(passages):
-                lines = [x for x in map(normal, p.split("\n")) if x]
-                for rank, unit in enumerate([normal(p), *lines]):
+                parts = [x for x in map(normal, [*re.split(r"\n\s*\n", p), *p.split("\n")]) if x]
+                for rank, unit in enumerate([normal(p), *parts]):
                     quotes.append({"passage": i, "level": level, "rank": rank, "key": key_of(unit)})
             return content, [key_of(u) for u in units], quotes, len(passages), max((level for level, _ in passages), default=0)
 
