@@ -39,23 +39,32 @@ SHARD_ROWS, LEVEL_FACTOR = 300, 40
 BLOCK_DATA, BLOCK_OTHERS = 40_000, 80_000
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, step: int = 1 << 16) -> int:
-    """The signed 64-bit fingerprint of a whole text."""
+def hashes_of(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) < size:
-        hashes = np.array([digest(b" ".join(words), SEED)], np.uint64)
-    else:
-        grams = map(b" ".join, zip(*[words[k:] for k in range(size)], strict=False))
-        hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(words) - size + 1)
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    grams = map(b" ".join, zip(*[words[k:] for k in range(size)], strict=False))
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(words) - size + 1)
+
+
+def bits_of(hashes: np.ndarray, ties: bool = False, step: int = 1 << 16) -> int:
+    """The signed 64-bit number of the bits set in over half of the hashes; with ``ties``, odd places that are
+    set in just half count too."""
     counts = np.zeros(64, np.int64)
     for a in range(0, len(hashes), step):
         bits = np.unpackbits(hashes[a : a + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.uint32)
-    made = np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)
-    return int(made[0])
+    more = counts * 2 + (np.arange(64) & 1 if ties and len(hashes) else 0) > len(hashes)
+    return int(np.packbits(more, bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The signed 64-bit fingerprint of a whole text."""
+    return bits_of(hashes_of(text, size))
 
 
 def fingerprints(docs: DataFrame, text_col: str) -> DataFrame:

@@ -9,7 +9,8 @@ import pytest
 import corpus_pipeline
 from strandweave.llm import quality
 from strandweave.llm.queries import QUERIES
-from tests.llm.test_llm import brute_components, brute_contamination, brute_fingerprint, brute_repeats
+from tests.llm.test_llm import brute_components, brute_contamination, brute_repeats
+from tests.llm.test_near_copies import brute_set
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -44,7 +45,7 @@ def test_stages_against_brute_force(spark, stages):
     assert set(good) == {i for i, r in before.items() if quality.score(w, r["text"]) >= 0.3}
 
     ids = sorted(good)
-    root = brute_components([brute_fingerprint(good[i]["text"]) for i in ids], lambda a, b: (a ^ b).bit_count() <= 2)
+    root = brute_components([brute_set(good[i]["text"]) for i in ids], lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
     single = rows_of(stages[1][1])
     assert set(single) == {i for k, i in enumerate(ids) if root[k] == k} and all(single[i] == good[i] for i in single)
 
