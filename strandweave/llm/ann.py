@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, whole_numbers
 
 PART, CENTRES = 2, 16
 SAMPLE, ROUNDS, SWEEPS, SEED = 8000, 8, 2, 5
@@ -159,6 +159,7 @@ def usable(rows: DataFrame) -> DataFrame:
 def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id and score of each query row's nearest rows. ``is_query`` is a condition on ``id_col``."""
     spark = rows.sparkSession
+    whole_numbers(rows, id_col)
     given = usable(rows.select(rows[f"`{id_col}`"].cast("long").alias("vec_id"), rows[f"`{vector_col}`"].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")))
     counts = given.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("int")).alias("q")).first()
     blocks, q_blocks = max(1, -(-counts["n"] // BLOCK_ROWS)), max(1, -(-(counts["q"] or 0) // BLOCK_QUERIES))
@@ -174,7 +175,7 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
             packed = encode(v, centres, eta)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in packed], pa.binary()), b.column(2)], names=["vec_id", "v", "code", "asks"])
 
-    small_batches(spark, 4096)
+    small_batches(spark)
     indexed = given.select("vec_id", "v", "asks").mapInArrow(index, "vec_id long, v array<double>, code binary, asks boolean")
     place = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     q_place = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch handed to Python. Texts may be long, so batches are kept small.
-BATCH_ROWS = 1000
+#: Bounds of one Arrow batch between the JVM and Python. Texts may be long, so batches end at whichever is met first.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8_000_000}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold the Arrow batch size down, so that a worker has few long texts in memory at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH``, so that a worker has few long texts in memory at once, however long they are.
+
+    Plans are lazy and read these options when they run, so they are the session's from then on; all operators use the
+    same bounds, and tighter ones that the session already has stay.
+    """
+    for key, most in BATCH.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def whole_numbers(df: DataFrame, column: str) -> None:
+    """Refuse ids that are no whole numbers at the call, not in a task."""
+    kind = df.select(df[f"`{column}`"]).schema[0].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{column} must hold whole numbers, not {kind.simpleString()}")
+
+
+def once(kind: str, key: object, make: Callable[[], object]):
+    """What ``make`` builds, kept for the later tasks of this worker process; of each kind only the last is held."""
+    held = sys.__dict__.setdefault("_strandweave_held", {})
+    if kind not in held or held[kind][0] != key:
+        held.pop(kind, None)
+        held[kind] = (key, make())
+    return held[kind][1]
+
+
+def labelled(docs: DataFrame, text_col: str, id_col: str, labels: DataFrame, label_col: str, most_bytes: int) -> DataFrame:
+    """_i and _y: each id that has a text of at most ``most_bytes`` bytes and one label (0 or 1), once. Rows that repeat
+    an id don't multiply; an id with contradicting labels is left out."""
+    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_i")).agg(F.min(label_col).cast("int").alias("_y"), F.max(label_col).cast("int").alias("_z"))
+    ids = docs.filter(F.octet_length(docs[f"`{text_col}`"]) <= most_bytes).select(docs[f"`{id_col}`"].alias("_i"))
+    return ids.join(known.filter("_y = _z").select("_i", "_y"), "_i").dropDuplicates(["_i"])
+
+
+def texts_with(docs: DataFrame, text_col: str, id_col: str, chosen: DataFrame, most_bytes: int) -> list[tuple[str, int]]:
+    """(text, label) of ``chosen`` (_i and _y, a bounded table of distinct ids) in order of id; of several texts with one id
+    the least within the bound."""
+    slim = docs.filter(F.octet_length(docs[f"`{text_col}`"]) <= most_bytes).select(docs[f"`{id_col}`"].alias("_i"), docs[f"`{text_col}`"].alias("_t"))
+    rows = slim.join(F.broadcast(chosen), "_i").groupBy("_i", "_y").agg(F.min("_t").alias("_t")).collect()
+    return [(r["_t"], r["_y"]) for r in sorted(rows, key=lambda r: r["_i"])]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

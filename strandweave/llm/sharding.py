@@ -21,13 +21,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_numbers
 
 TOP_BITS = 12
 BINS = 256
 LOWEST = -(2**63)
-#: A piece should hold about so many rows; there are at most MAX_PIECES in a shard.
-PIECE_ROWS, MAX_PIECES = 2_000_000, 64
+#: A piece should hold at most so many rows, and so many bytes of carried text; pieces grow in number and not in size.
+PIECE_ROWS, PIECE_BYTES = 2_000_000, 2_000_000_000
+#: Intervals counted in one job, so that at most CELLS * BINS rows are on the driver at once.
+CELLS = 2000
 
 
 @dataclass
@@ -105,7 +107,9 @@ def find_splitters(rows: DataFrame, targets: list[int], total_bytes: int, total_
     done: dict[int, tuple] = {}
     cells = [Cell(0, (), 0, 2**32 - 1, 0, 0, list(range(len(targets))))] if total_rows else []
     while cells:
-        bins = counted(rows, cells)
+        bins = {}
+        for a in range(0, len(cells), CELLS):
+            bins |= {a + i: b for i, b in counted(rows, cells[a : a + CELLS]).items()}
         opened: list[Cell] = []
         for i, c in enumerate(cells):
             below_b, below_n = c.below_bytes, c.below_rows
@@ -135,10 +139,12 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     ``tolerance_share`` is the tolerated error of a boundary as a share of a shard's mean bytes.
     """
+    whole_numbers(df, id_col)
     rows = keyed(df, id_col, text_col, carry or [])
     totals = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     spark = df.sparkSession
-    pieces = pieces or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2 // shards, min(MAX_PIECES, -(-totals["n"] // (shards * PIECE_ROWS))), 1)
+    needed = max(-(-totals["n"] // (shards * PIECE_ROWS)), -(-totals["b"] // (shards * PIECE_BYTES)) if carry else 1)
+    pieces = pieces or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2 // shards, needed, 1)
     parts = shards * pieces
     wanted = [round(totals["b"] * j / parts) for j in range(1, parts)]
     found = find_splitters(rows, wanted, totals["b"], totals["n"], max(1, int(totals["b"] / shards * tolerance_share)))

@@ -14,7 +14,7 @@ hashes).
 
 Defined cases: null and empty texts and texts of under ``WINDOW`` words keep all their words; rows with a null id
 neither lose words nor cause others to; rows that repeat an id count as the same document, so they don't
-remove each other's words; windows are judged on the input, not on what is left; an empty table gives
+remove each other's words; ids must be whole numbers (else a TypeError at the call); windows are judged on the input, not on what is left; an empty table gives
 an empty result.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, release, small_batches, written
+from .common import map_rows, release, small_batches, whole_numbers, written
 
 WINDOW, SEED_WORDS = 13, 4
 #: Bytes that are hashed together; longer words than LONG_WORD bytes are hashed one by one.
@@ -210,6 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Every row with its repeats: structs ``row`` (as given) and ``out`` (n_words; spans, the maximal word ranges
     removed; kept, the remaining words joined by blanks; n_kept)."""
     spark = docs.sparkSession
+    whole_numbers(docs, id_col)
     slim = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc"), docs[f"`{text_col}`"].alias("text"))
 
     # Seed: anchors of two documents or more, with the representative's surroundings. One exchange by anchor serves
