@@ -1,16 +1,19 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A piece of text (a match of the split pattern) is encoded by halves: each half is encoded recursively, and two
-encoded neighbours are joined at their boundary. Joining re-encodes a window of tokens around the boundary and
-doubles it until both ends of the window are stable. Stability is proved by pairs: a token sequence is the
-encoding of its bytes exactly when every two neighbouring tokens, encoded alone, come out as the same two tokens (until
-a first merge across some boundary, the merges on both sides of it run as they would for that pair alone, so a merge
-that crosses it in the whole would cross it in the pair). Joining is therefore associative, halves may be encoded in
-any order, and long pieces need no quadratic work. Pieces up to ``LEAF`` bytes are merged directly; a piece that
-is itself a token is that token. Decoding concatenates token bytes up the same kind of tree.
+A piece of text (a match of the split pattern) is encoded by halves: each half is encoded recursively, down to halves that
+are tokens (single bytes always are), and two encoded neighbours are joined at their boundary. Joining re-encodes a
+window of tokens around the boundary and doubles it until both ends of the window are stable. Stability is proved by pairs: a
+token sequence is the encoding of its bytes exactly when every two neighbouring tokens, encoded alone, come out as the
+same two tokens (until a first merge across some boundary, the merges on both sides of it run as they would for that
+pair alone, so a merge that crosses it in the whole would cross it in the pair). Joining is therefore associative,
+halves may be encoded in any order, and long pieces need no quadratic work. That a half which is a token encodes to
+that token holds for every token that merges to itself; ``Encoder`` tests each token when it first matters. The pattern
+fixes the boundaries of pieces, so up the rest of a document's tree neighbours are joined by concatenation. Decoding
+concatenates token bytes up the same kind of tree.
 
 Defined cases: a null or empty text encodes to no ids and decodes to no bytes. Special tokens are never made; their
-strings are ordinary text. Ids travel as binary: little-endian unsigned 32-bit integers.
+strings are ordinary text. Repeated rows are encoded one by one; an empty table gives an empty result. Ids travel as
+binary: little-endian unsigned 32-bit integers. An id that the vocabulary doesn't hold is an error.
 """
 
 from __future__ import annotations
@@ -24,26 +27,27 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import map_rows, once
 
-#: Longest piece, in bytes, that is merged directly.
-LEAF = 48
-#: Remembered pieces of a task, cleared when full.
-MEMO = 250_000
+#: Remembered pieces, halves and token pairs of a worker, each cleared when full. Longer halves than HALF bytes aren't kept.
+MEMO, HALF = 150_000, 32
 
 
 class Encoder:
-    """Encodes pieces by the ranks of a vocabulary."""
+    """Encodes pieces by the ranks of a vocabulary. ``joins`` counts the joins of halves."""
 
-    def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF):
-        self.ranks, self.leaf = ranks, leaf
-        self.stable: dict[tuple[int, int], bool] = {}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
+        self.stable: dict[int, bool] = {}
+        self.whole: dict[bytes, bool] = {}
+        self.halves: dict[bytes, list[int]] = {}
+        self.joins = 0
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Direct merging, lowest rank first and leftmost among equals."""
+    def merge(self, window: bytes) -> list[int]:
+        """A window's encoding: pairs merge, lowest rank first and leftmost among equals."""
         ranks = self.ranks
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        parts = [window[i : i + 1] for i in range(len(window))]
         none = 1 << 60
         pair = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
         while pair:
@@ -61,15 +65,17 @@ class Encoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the tokens a, b are the encoding of their joint bytes."""
-        known = self.stable.get((a, b))
+        key = a << 32 | b
+        known = self.stable.get(key)
         if known is None:
             if len(self.stable) >= MEMO:
                 self.stable.clear()
-            known = self.stable[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
+            known = self.stable[key] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two encoded neighbours."""
+        self.joins += 1
         if not left or not right or self.fits(left[-1], right[0]):
             return left + right
         width = 2
@@ -80,15 +86,36 @@ class Encoder:
                 return left[:l] + window + right[r:]
             width *= 2
 
-    def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= self.leaf:
-            return self.merge(piece)
-        half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+    def half(self, part: bytes) -> list[int]:
+        """The encoding of any bytes, joined from its halves."""
+        rank = self.ranks.get(part)
+        if rank is not None:
+            own = self.whole.get(part)
+            if own is None:
+                own = self.whole[part] = self.merge(part) == [rank]  # at most one entry a token
+            if own:
+                return [rank]
+        known = self.halves.get(part)
+        if known is None:
+            middle = len(part) // 2
+            known = self.join(self.half(part[:middle]), self.half(part[middle:]))
+            if len(part) <= HALF:
+                if len(self.halves) >= MEMO:
+                    self.halves.clear()
+                self.halves[part] = known
+        return known
 
     def piece(self, piece: bytes) -> list[int]:
+        """A match of the pattern: one token if it is one, else its halves joined."""
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.tree(piece)
+        return [whole] if whole is not None else self.half(piece) if piece else []
+
+
+def concatenated(parts: list[bytes]) -> bytes:
+    """Neighbours that need no re-encoding, joined up a tree of runs of 4096."""
+    while len(parts) > 1:
+        parts = [b"".join(parts[i : i + 4096]) for i in range(0, len(parts), 4096)]
+    return parts[0] if parts else b""
 
 
 def read_ranks(path: str) -> bytes:
@@ -105,15 +132,14 @@ def encode(df: DataFrame, text_col: str, ranks_path: str, pattern: str) -> DataF
     """Struct ``row`` (as given) and struct ``out`` with the binary column ``ids``."""
     content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
-    def make():
-        encoder = Encoder(parse_ranks(content.value))
+    def tool():
+        encoder, memo = Encoder(parse_ranks(content.value)), {}
         split = regex.compile(pattern)
-        memo: dict[str, bytes] = {}
 
         def packed(piece: str) -> bytes:
             made = encoder.piece(piece.encode("utf-8", "surrogatepass"))
             out = struct.pack(f"<{len(made)}I", *made)
-            if len(piece) <= 128:
+            if len(piece) <= 2 * HALF:
                 if len(memo) >= MEMO:
                     memo.clear()
                 memo[piece] = out
@@ -121,8 +147,12 @@ def encode(df: DataFrame, text_col: str, ranks_path: str, pattern: str) -> DataF
 
         def ids(text: str | None) -> bytes:
             get = memo.get
-            return b"".join([get(p) or packed(p) for p in split.findall(text)]) if text else b""
+            return concatenated([get(p) or packed(p) for p in split.findall(text)]) if text else b""
+
+        return ids
 
+    def make():
+        ids = once("bpe.encode", (ranks_path, pattern, len(content.value)), tool)
         return lambda a: [pa.array(map(ids, a["text"].to_pylist()), pa.binary())]
 
     return map_rows(df, {"text": text_col}, make, T.StructType([T.StructField("ids", T.BinaryType())]))
@@ -133,16 +163,10 @@ def decode(df: DataFrame, ids_col: str, ranks_path: str) -> DataFrame:
     content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def make():
-        token = {i: b for b, i in parse_ranks(content.value).items()}
-
-        def join(parts: list[bytes]) -> bytes:
-            """Concatenate up a tree whose leaves are runs of 4096 tokens."""
-            while len(parts) > 1:
-                parts = [b"".join(parts[i : i + 4096]) for i in range(0, len(parts), 4096)]
-            return parts[0] if parts else b""
+        token = once("bpe.decode", (ranks_path, len(content.value)), lambda: {i: b for b, i in parse_ranks(content.value).items()})
 
         def text(ids: bytes | None) -> bytes:
-            return join([token[i] for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
+            return concatenated([token[i] for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
 
         return lambda a: [pa.array(map(text, a["ids"].to_pylist()), pa.binary())]
 

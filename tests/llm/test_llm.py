@@ -60,7 +60,7 @@ def test_url_filter(spark):
 
     rng = random.Random(2)
     urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['', 'A.', 'www.'])}{rng.choice(['x', 'example', 'notexample'])}.{rng.choice(['com', 'NET', 'org', 'comx'])}{rng.choice(['', '/', '/en/', '/en/7', '/en/71?x=/de/', '/de/8#a', '/de/9', '/es/', '/EN/', '?a=/en/', '#/en/'])}" for _ in range(300)]
-    urls += [None, "", "://", "http://", "com/en/", "a://b://com/en/", "http://com/en/", "http://example.com:80/en/7", "x://com/en/\n"]
+    urls += [None, "", "://", "http://", "com/en/", "a://b://com/en/", "http://a\nb.com/en/1", "http://com\n/en/1", "http://com\n.net/de/\n", "http://com/en/", "http://example.com:80/en/7", "x://com/en/\n"]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
     for block in (50_000, 2):
         got = {r["row"]["page_id"]: r for r in url_filter.filter_urls(df, "url", HOST_RULES, block_rules=block).collect()}
@@ -346,11 +346,11 @@ def test_bpe_joins_are_associative():
     rng = random.Random(10)
     for _ in range(200):
         s = "".join(rng.choice(rng.choice(["ab", "the onr", "éß"])) for _ in range(rng.randint(2, 120))).encode()
-        whole = bpe.Encoder(ranks, leaf=1 << 20).merge(s)
-        e = bpe.Encoder(ranks, leaf=rng.choice([1, 3, 7]))
+        whole = bpe.Encoder(ranks).merge(s)
+        e = bpe.Encoder(ranks)
         a, b = sorted((rng.randint(0, len(s)), rng.randint(0, len(s))))
         x, y, z = (e.merge(p) for p in (s[:a], s[a:b], s[b:]))
-        assert e.tree(s) == whole == e.join(e.join(x, y), z) == e.join(x, e.join(y, z))
+        assert e.half(s) == whole == e.join(e.join(x, y), z) == e.join(x, e.join(y, z))
 
 
 # --- 9 ---
