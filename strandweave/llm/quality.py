@@ -10,7 +10,8 @@ Training uses at most ``TRAIN_ROWS`` labelled rows, those of lowest hash among t
 ``TRAIN_BYTES`` bytes each (a documented bound on the sample; scoring has none). Only the text is an input.
 
 Defined cases: a null or empty text is scored as one chunk of padding; with no labelled rows of one of the classes, all
-scores are 0.5; rows with a null label are not learned from; of repeated labels every row counts.
+scores are 0.5; rows with a null label are not learned from; rows that repeat an id count once, and an id with
+contradicting labels is left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import labelled, map_rows, texts_with
 
 FILTERS, WIDTH, BLOCK, HIDDEN = 24, 5, 128, 16
 PIECE = 1 << 16
@@ -153,14 +154,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> dict | N
 
 
 def training_rows(docs: DataFrame, text_col: str, id_col: str, labels: DataFrame, label_col: str, rows: int, most_bytes: int) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts of at most ``most_bytes`` bytes, those of lowest hash; ``labels`` holds only rows
-    that may be learned from."""
-    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y"))
+    """At most ``rows`` labelled texts of at most ``most_bytes`` bytes, those whose ids have the lowest hash; ``labels`` holds
+    only rows that may be learned from. Every id counts once (see ``labelled``)."""
     # Choose by id first, so that the texts of unchosen rows are never moved.
-    few = docs.filter(F.octet_length(text_col) <= most_bytes).select(F.col(id_col).alias("_i")).join(known, "_i").orderBy(F.xxhash64("_i"), "_i", "_y").limit(rows)
-    chosen = F.broadcast(few)  # at most ``rows`` ids
-    picked = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(chosen, "_i").filter(F.octet_length("_t") <= most_bytes)
-    return [(r["_t"], r["_y"]) for r in sorted(picked.limit(4 * rows).collect(), key=lambda r: (r["_i"], r["_y"], r["_t"]))]
+    few = labelled(docs, text_col, id_col, labels, label_col, most_bytes).orderBy(F.xxhash64("_i"), "_i").limit(rows)
+    return texts_with(docs, text_col, id_col, few, most_bytes)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> dict | None:

@@ -19,7 +19,8 @@ Training uses at most ``TRAIN_ROWS`` labelled rows of each class, those of lowes
 (a documented bound on the sample; scoring has none). Only the text is an input.
 
 Defined cases: null and empty texts have no unit and get the probability of the least values; with no labelled rows of one
-of the classes all scores are 0; rows with a null label are not learned from; of repeated labels every row counts.
+of the classes all scores are 0; rows with a null label are not learned from; rows that repeat an id count once, and an
+id with contradicting labels is left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import labelled, map_rows, texts_with
 
 GAP, SPAN = 0.5, 6
 SYMBOLS = 64
@@ -313,13 +314,11 @@ def score(w: dict | None, text: str | None) -> float:
 
 
 def training_rows(docs: DataFrame, text_col: str, id_col: str, labels: DataFrame, label_col: str, rows: int, most_bytes: int) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts of each class; ``labels`` holds only rows that may be learned from."""
-    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y"))
-    ids = docs.filter(F.octet_length(text_col) <= most_bytes).select(F.col(id_col).alias("_i")).join(known, "_i")
+    """At most ``rows`` labelled texts of each class, those whose ids have the lowest hash; ``labels`` holds only rows that
+    may be learned from. Every id counts once (see ``labelled``)."""
+    ids = labelled(docs, text_col, id_col, labels, label_col, most_bytes)
     few = [ids.filter(F.col("_y") == y).orderBy(F.xxhash64("_i"), "_i").limit(rows) for y in (0, 1)]
-    chosen = F.broadcast(few[0].union(few[1]))  # at most 2 * ``rows`` ids
-    picked = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(chosen, "_i").filter(F.octet_length("_t") <= most_bytes)
-    return [(r["_t"], r["_y"]) for r in sorted(picked.limit(8 * rows).collect(), key=lambda r: (r["_i"], r["_y"], r["_t"]))]
+    return texts_with(docs, text_col, id_col, few[0].union(few[1]), most_bytes)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> dict | None:
