@@ -1,23 +1,25 @@
 """Benchmark decontamination: Wu-Manber multi-pattern search over words.
 
 A pattern is a window of ``WINDOW`` consecutive words of a benchmark item, or a whole item that has fewer. Patterns
-of one length form a searcher: a shift table over blocks of two words says how far the search may jump, so
-positions that no pattern can cover are never looked at; where the shift is zero, the block (the patterns' common
-suffix) picks a bucket of patterns, and comparing all words confirms an occurrence. One-word patterns use blocks of
-one word.
+of one length form a searcher: a table of shifts, indexed by a hash of the block of two words at the window's end, says
+how far the search may jump, so positions that no pattern can cover are never looked at. Where the shift is zero, the
+block's hash picks a bucket of patterns with that suffix, a hash of the whole window those worth comparing, and comparing all
+words confirms an occurrence. One-word patterns use blocks of one word.
 
-Words are maximal runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased.
+Words are maximal runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased. The
+benchmark's words are numbered, and patterns are places in one array of numbers, so the tables stay small: 8 MB of
+item text in 10-word windows take some 100 MB, built once in a worker process and kept for its later tasks.
 
 Defined cases: a null or empty text has no words and no hits; a null or empty item, or one without words,
-has no windows; items with a null id are left out, or, with ``nameless``, their windows are hits that name no item; repeated items count once by id; a window that
-several items share belongs to all of them; an empty benchmark hits nothing. The benchmark goes to the
-workers in blocks of at most ``BLOCK_BYTES`` of item text, and each block makes one pass over the
-documents without a shuffle, so memory is bounded however large the benchmark is.
+has no windows; items with a null id are left out, or, with ``nameless``, their windows are hits that name no item;
+repeated items count once by id; a window that several items share belongs to all of them; an empty benchmark hits
+nothing. The benchmark goes to the workers in blocks of at most ``BLOCK_BYTES`` of item text (or one item), and each block
+makes one pass over the documents without a shuffle, so memory is bounded however large the benchmark is.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import map_rows, once
 
 WINDOW = 10
 #: Bytes of item text whose patterns one pass over the documents holds in each task.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 
 OUT = T.StructType(
     [
@@ -50,59 +52,100 @@ def words_of(text: str | None, table: bytes) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(table).split() if text else []
 
 
-def windows_of(words: list[bytes], window: int) -> set[tuple]:
-    if len(words) <= window:
-        return {tuple(words)} if words else set()
-    return {tuple(words[i : i + window]) for i in range(len(words) - window + 1)}
+#: Odd multipliers of the block hash and of the window hash.
+FIRST, SECOND, STEP = 0x9E3779B1, 0x85EBCA77, 0x100000001B3
+LOW = (1 << 64) - 1
 
 
 class Searcher:
-    """Wu-Manber search for patterns of one length (in words)."""
+    """Wu-Manber search for patterns of one length (in words): ``starts`` in the array ``flat`` of word numbers (from 1;
+    0 is a word that no item has), each of the item in ``owner``."""
 
-    def __init__(self, length: int, patterns: dict[tuple, frozenset]):
-        self.m, self.patterns = length, patterns
-        self.block = min(2, length)
+    def __init__(self, length: int, flat: np.ndarray, starts: np.ndarray, owner: np.ndarray):
+        self.m, self.flat, self.block = length, flat, min(2, length)
         self.default = length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
-        for p in patterns:
-            for j in range(self.block, length + 1):
-                key = p[j - 2] + b" " + p[j - 1] if self.block == 2 else p[j - 1]
-                jump = length - j
-                if jump < self.shift.get(key, self.default):
-                    self.shift[key] = jump
-                if jump == 0:
-                    self.bucket[key].append(p)
-
-    def search(self, words: list[bytes]):
-        """Yield (start, item ids) of every occurrence."""
-        n, m, default, get = len(words), self.m, self.default, self.shift.get
+        ends = np.arange(self.block, length + 1)
+        self.bits = max(10, int(starts.size * 8 - 1).bit_length()) if starts.size < 1 << 21 else 24
+        shift = np.full(1 << self.bits, min(255, self.default), np.uint8)
+        for j in ends:
+            at = self.key(flat[starts + j - 2] if self.block == 2 else 0, flat[starts + j - 1])
+            np.minimum.at(shift, at, np.uint8(min(255, length - j)))
+        self.shift = shift.tobytes()
+        window = np.zeros(len(starts), np.uint64)
+        for j in range(length):
+            window = window * np.uint64(STEP) + flat[starts + j].astype(np.uint64)
+        order = np.lexsort((owner, window, at))
+        self.starts, self.owner, self.window, at = starts[order].astype(np.int32), owner[order].astype(np.int32), window[order], at[order]
+        used, first = np.unique(at, return_index=True)
+        self.used, self.first = used, np.r_[first, len(at)]
+
+    def key(self, a, b):
+        """The place of a block in the table of shifts."""
+        return ((a * FIRST + b * SECOND) >> 9) & ((1 << self.bits) - 1)
+
+    def bucket(self, at: int, own: list[int]):
+        """The items that have the window ``own``, whose block hashes to ``at``."""
+        k = int(np.searchsorted(self.used, at))
+        if k == len(self.used) or self.used[k] != at:
+            return []
+        h = 0
+        for w in own:
+            h = (h * STEP + w) & LOW
+        low, high = int(self.first[k]), int(self.first[k + 1])
+        part = self.window[low:high]
+        i, j = (int(np.searchsorted(part, np.uint64(h), side)) for side in ("left", "right"))
+        found = []
+        for p in range(low + i, low + j):
+            s = int(self.starts[p])
+            if self.flat[s : s + self.m].tolist() == own:
+                found.append(int(self.owner[p]))
+        return found
+
+    def search(self, words: list[bytes], number: dict[bytes, int]):
+        """Yield (start, owners) of every occurrence."""
+        n, m, get, shift, two, mask = len(words), self.m, number.get, self.shift, self.block == 2, (1 << self.bits) - 1
         at = m - 1
-        if self.block == 1:
-            for at in range(n):
-                if words[at] in self.shift:
-                    yield at, self.patterns[(words[at],)]
-            return
         while at < n:
-            jump = get(words[at - 1] + b" " + words[at], default)
-            if jump:
-                at += jump
+            b = get(words[at], 0)
+            key = (((get(words[at - 1], 0) * FIRST if two else 0) + b * SECOND) >> 9) & mask
+            jump = shift[key]
+            if not jump and b:
+                own = [get(w, 0) for w in words[at - m + 1 : at + 1]]
+                if all(own) and (found := self.bucket(key, own)):
+                    yield at - m + 1, found
+            at += jump or 1
+
+
+class Patterns:
+    """The searchers of one block of items, one for each length of pattern."""
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        self.table = word_table()
+        self.number: dict[bytes, int] = {}
+        self.names = [i for i, _ in items]
+        flat, starts, owner, at = [], {}, {}, 0
+        for k, (_, text) in enumerate(items):
+            words = words_of(text, self.table)
+            if not words:
                 continue
-            own = words[at - m + 1 : at + 1]
-            for p in self.bucket[words[at - 1] + b" " + words[at]]:
-                if list(p) == own:
-                    yield at - m + 1, self.patterns[p]
-            at += 1
-
-
-def searchers(items: list[tuple[str | None, str]], window: int, table: bytes) -> list[Searcher]:
-    by_length: dict[int, dict] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        for w in windows_of(words_of(text, table), window):
-            own = by_length[len(w)][w]
-            if item is not None:
-                own.add(item)
-    return [Searcher(n, {p: frozenset(i) for p, i in ps.items()}) for n, ps in sorted(by_length.items())]
+            flat.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64))
+            m = min(window, len(words))
+            starts.setdefault(m, []).append(np.arange(at, at + len(words) - m + 1))
+            owner.setdefault(m, []).append(np.full(len(words) - m + 1, k))
+            at += len(words)
+        array = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+        self.tools = [Searcher(m, array, np.concatenate(starts[m]), np.concatenate(owner[m])) for m in sorted(starts)]
+
+    def find(self, text: str | None) -> tuple[int, list[int], list[int], set[str]]:
+        """Number of words, starts and stops of all occurrences, and the ids of their items."""
+        words = words_of(text, self.table)
+        starts, stops, ids = [], [], set()
+        for tool in self.tools:
+            for at, owners in tool.search(words, self.number):
+                starts.append(at)
+                stops.append(at + tool.m)
+                ids.update(owners)
+        return len(words), starts, stops, {self.names[k] for k in ids} - {None}
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[dict]:
@@ -132,26 +175,21 @@ def find_contamination(docs: DataFrame, text_col: str, benchmark: DataFrame, ite
     spark = docs.sparkSession
     out, first = docs, True
     for items in blocks_of(benchmark, item_col, item_text, block_bytes, nameless):
-        shipped = spark.sparkContext.broadcast(items)  # at most block_bytes of text
+        shipped, mark = spark.sparkContext.broadcast(items), uuid.uuid4().hex  # at most block_bytes of text
 
-        def make(shipped=shipped):
-            table = word_table()
-            tools = searchers(shipped.value, window, table)
+        def make(shipped=shipped, mark=mark):
+            patterns = once("decontaminate", mark, lambda: Patterns(shipped.value, window))
 
             def call(a):
                 total, spans, items = [], [], []
                 was = a["was"].to_pylist() if "was" in a else [None] * len(a["text"])
                 for text, old in zip(a["text"].to_pylist(), was, strict=True):
-                    words = words_of(text, table)
-                    starts, stops, ids = [], [], set()
+                    n, starts, stops, ids = patterns.find(text)
                     if old:
-                        starts, stops, ids = [s["start"] for s in old["spans"]], [s["stop"] for s in old["spans"]], set(old["items"])
-                    for tool in tools:
-                        for at, own in tool.search(words):
-                            starts.append(at)
-                            stops.append(at + tool.m)
-                            ids |= own
-                    total.append(len(words))
+                        starts += [s["start"] for s in old["spans"]]
+                        stops += [s["stop"] for s in old["spans"]]
+                        ids |= set(old["items"])
+                    total.append(n)
                     spans.append(merged(starts, stops) if starts else [])
                     items.append(sorted(ids))
                 return [pa.array(v, f) for v, f in zip((total, spans, items), (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string())), strict=True)]
