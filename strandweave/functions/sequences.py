@@ -55,21 +55,12 @@ def orf_lengths(s: Column, threshold: int = 200, frame: int | None = None) -> Co
     leaves open is kept."""
 
     def of(f: int) -> Column:
-        n = F.length(s)
-        starts = F.when(n > f, F.sequence(F.lit(f), n - 1, F.lit(3))).otherwise(F.array().cast("array<int>"))
-        codons = F.transform(starts, lambda i: F.substring(s, i + 1, F.lit(3)))
-        zero = F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("now"))
-
-        def add(acc: Column, codon: Column) -> Column:
-            closed = F.when(acc["now"] >= threshold, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
-            stop, start = codon.isin(*STOP_CODONS), codon.isin(*START_CODONS)
-            is_open = acc["now"] > 0
-            return F.struct(
-                F.when(is_open & stop, closed).otherwise(acc["done"]).alias("done"),
-                F.when(is_open & stop, 0).when(is_open, acc["now"] + 3).when(start, 3).otherwise(0).cast("int").alias("now"),
-            )
-
-        return F.aggregate(codons, zero, add, lambda a: F.when(a["now"] > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+        # One letter a codon, so that stop codons split the frame into stretches; each step reads the sequence once.
+        codons = F.regexp_extract_all(F.substring(s, f + 1, (1 << 31) - 1), F.lit("(?s).{1,3}"), F.lit(0))
+        letter = lambda c: F.when(c.isin(*STOP_CODONS), "*").when(c.isin(*START_CODONS), "M").otherwise(".")
+        stretches = F.split(F.array_join(F.transform(codons, letter), ""), r"\*", -1)
+        sized = F.transform(stretches, lambda x, i: F.struct(F.when(F.instr(x, "M") > 0, (F.length(x) - F.instr(x, "M") + 1) * 3).otherwise(0).alias("n"), (i == F.size(stretches) - 1).alias("open")))
+        return F.transform(F.filter(sized, lambda x: (x["n"] > 0) & (x["open"] | (x["n"] >= threshold))), lambda x: x["n"])
 
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
     frames = F.array(*[of(f) for f in ((0, 1, 2) if frame is None else (frame,))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,19 @@ def index_in_breaks(breaks: Column, seek: Column) -> Column:
     """Last index (from 0) of an increasing array whose value is at most ``seek``, and the gap to it: struct<i, gap>."""
     at = F.size(F.filter(breaks, lambda b: b <= seek)) - 1
     return F.struct(at.alias("i"), (seek - F.get(breaks, at)).alias("gap"))
+
+
+def floor_in(seeks: DataFrame, seek: str, breaks: DataFrame, at: str, width: int = 1024) -> DataFrame:
+    """``seeks`` with ``idx`` (how many distinct breaks lie at or below ``seek``, less one) and ``gap`` to the last of them;
+    -1 and null where there is none. Whole numbers are looked up in buckets of ``width``, so a row meets at most ``width``
+    breaks; a bucket takes over the count and the last break of those before it."""
+    bucket = lambda c: F.floor(F.col(c) / width).alias("bucket")
+    held = breaks.select(F.col(at).alias("b")).distinct().groupBy(bucket("b")).agg(F.array_sort(F.collect_list("b")).alias("own"))
+    rows = seeks.withColumn("bucket", bucket(seek))
+    every = held.select("bucket").union(rows.select("bucket")).distinct().join(held, "bucket", "left")
+    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    carried = every.select("bucket", "own", F.coalesce(F.sum(F.coalesce(F.size("own"), F.lit(0))).over(ahead), F.lit(0)).alias("before"), F.last(F.element_at("own", -1), ignorenulls=True).over(ahead).alias("last"))
+    low = F.filter(F.coalesce("own", F.array().cast(held.schema["own"].dataType)), lambda b: b <= F.col(seek))
+    got = rows.join(carried, "bucket").withColumn("low", low)
+    floor = F.when(F.size("low") > 0, F.element_at("low", -1)).otherwise(F.col("last"))
+    return got.select(*seeks.columns, (F.col("before") + F.size("low") - 1).alias("idx"), (F.col(seek) - floor).alias("gap"))
