@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import start_count
 from .variants import full_length, inner_length
 
 
@@ -25,27 +24,56 @@ def describe(sub_paths: DataFrame) -> DataFrame:
     ).filter("lo <= hi")
 
 
+def placed_lengths(described: DataFrame, lengths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """len, bin_id, lo, hi of every distinct length that lies in a bin. The length axis is cut at every start and behind every
+    end of a sub-path's range. With ``by`` (replicates, say) each of these has an axis and bins of its own.
+
+    Lengths take the last cut at or before them from one ordered pass, not from a range join. Both are numbers of bases up
+    to the longest read or sub-path, so that pass is bounded by it, however many reads there are.
+    """
+    cuts = described.select(*by, F.col("lo").alias("b")).union(described.select(*by, F.col("hi") + 1)).distinct()
+    ranges = cuts.select(*by, F.col("b").alias("lo"), (F.lead("b").over(Window.partitionBy(*by).orderBy("b")) - 1).alias("hi")).filter("hi is not null")
+    marks = cuts.select(*by, F.col("b").alias("at"), F.lit(0).alias("kind"), F.col("b").alias("cut")).union(
+        lengths.select(*by, F.col("len").cast("long").alias("at")).distinct().select(*by, "at", F.lit(1), F.lit(None).cast("long"))
+    )
+    last = F.last("cut", ignorenulls=True).over(Window.partitionBy(*by).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    held = marks.withColumn("lo", last).filter("kind = 1 and lo is not null").select(*by, F.col("at").alias("len"), "lo").join(ranges, [*by, "lo"])
+    return held.select(*by, "len", F.dense_rank().over(Window.partitionBy(*by).orderBy("lo")).alias("bin_id"), "lo", "hi")
+
+
 def length_bins(described: DataFrame, lengths: DataFrame) -> DataFrame:
-    """bin_id, lo, hi: the length axis cut at every start and behind every end of a sub-path's range; bins with at least
-    one observed length. There are at most two cuts for each sub-path."""
-    cuts = described.select(F.col("lo").alias("b")).union(described.select(F.col("hi") + 1)).distinct()
-    ranges = cuts.select(F.col("b").alias("lo"), (F.lead("b").over(Window.orderBy("b")) - 1).alias("hi")).filter("hi is not null")
-    seen = lengths.select("len").distinct()
-    kept = ranges.join(seen, (F.col("len") >= F.col("lo")) & (F.col("len") <= F.col("hi")), "left_semi")
-    return kept.select((F.row_number().over(Window.orderBy("lo"))).alias("bin_id"), "lo", "hi")
+    """bin_id, lo, hi: bins with at least one observed length."""
+    return placed_lengths(described, lengths).select("bin_id", "lo", "hi").distinct()
 
 
-def cells(bins: DataFrame, described: DataFrame, reads: DataFrame) -> DataFrame:
-    """bin_id, path, num_matched, num_possible_x. ``reads`` has path (canonical) and len.
+def cells(placed: DataFrame, described: DataFrame, reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """bin_id, path, num_matched, num_possible_x. ``placed``: see ``placed_lengths``; ``reads`` has path (canonical), len and
+    n (how many such reads there are).
 
-    Reads are counted by length before the range join, so it meets a row for each distinct length; bins are disjoint.
+    Reads are counted by length first. The number of starts grows linearly with the length but for two bends a
+    sub-path, so its sum over a bin follows from running sums of reads and of bases at the bends and the bin's end; no
+    cell meets the lengths of its bin.
     """
-    by_len = reads.groupBy("len").agg(F.count("*").alias("c")).join(bins, (F.col("len") >= F.col("lo")) & (F.col("len") <= F.col("hi"))).select("bin_id", "len", "c")
-    own = reads.groupBy("path", "len").agg(F.count("*").alias("m"))
-    matched = own.join(described.select("path"), "path", "left_semi").join(bins, (F.col("len") >= F.col("lo")) & (F.col("len") <= F.col("hi"))).groupBy("bin_id", "path").agg(F.sum("m").alias("num_matched"))
-    facts = matched.join(described.drop("lo", "hi"), "path").join(by_len, "bin_id")
-    x = start_count(F.col("len"), F.col("steps"), F.col("full_len"), F.col("inner_len"), F.col("left_free"), F.col("right_free"))
-    return facts.groupBy("bin_id", "path").agg(F.first("num_matched").alias("num_matched"), (F.sum(x * F.col("c")) / F.sum("c")).alias("num_possible_x"))
+    by_len = reads.groupBy(*by, F.col("len").cast("long").alias("len")).agg(F.sum("n").alias("c"))
+    span = by_len.groupBy(*by).agg((F.min("len") - 1).alias("least"), F.max("len").alias("most"))
+    axis = span.filter("most is not null").select(*by, F.explode(F.sequence("least", "most")).alias("len"))  # a row for each base of the longest read
+    up_to = Window.partitionBy(*by).orderBy("len")
+    c = F.coalesce("c", F.lit(0))
+    sums = axis.join(by_len, [*by, "len"], "left").select(*by, F.col("len").alias("at"), F.sum(c).over(up_to).alias("reads"), F.sum(c * F.col("len")).over(up_to).alias("bases"))
+    spanned = placed.join(by_len, [*by, "len"]).groupBy(*by, "bin_id").agg(F.first("lo").alias("b_lo"), F.first("hi").alias("b_hi"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("len")).alias("l"))
+    own = reads.groupBy(*by, "path", F.col("len").cast("long").alias("len")).agg(F.sum("n").alias("m"))
+    matched = own.join(described.select(*by, "path"), [*by, "path"], "left_semi").join(placed.select(*by, "len", "bin_id"), [*by, "len"]).groupBy(*by, "bin_id", "path").agg(F.sum("m").alias("num_matched"))
+    facts = matched.join(described.drop("lo", "hi"), [*by, "path"]).join(spanned, [*by, "bin_id"])
+    facts = facts.join(span, list(by)) if by else facts.crossJoin(F.broadcast(span))
+    inside = lambda x: F.least(F.greatest(F.coalesce(x, F.col("b_lo")), F.col("b_lo") - 1, F.col("least")), F.col("b_hi"), F.col("most"))
+    left, right = F.col("inner_len") + 1 + F.col("left_free"), F.col("inner_len") + 1 + F.col("right_free")
+    facts = facts.withColumn("end", F.least("b_hi", "most")).withColumn("bend1", inside(left)).withColumn("bend2", inside(right))
+    for x in ("end", "bend1", "bend2"):
+        facts = facts.join(sums.select(*by, F.col("at").alias(x), F.col("reads").alias(f"reads_{x}"), F.col("bases").alias(f"bases_{x}")), [*by, x])
+    beyond = lambda bend, x: F.col("bases_end") - F.col(f"bases_{bend}") - x * (F.col("reads_end") - F.col(f"reads_{bend}"))
+    one = (F.col("full_len") + 1) * F.col("c") - F.col("l")
+    many = F.col("l") - (F.col("inner_len") + 1) * F.col("c") - beyond("bend1", left) - beyond("bend2", right)
+    return facts.select(*by, "bin_id", "path", "num_matched", (F.when(F.col("steps") == 1, one).otherwise(many) / F.col("c")).alias("num_possible_x"))
 
 
 def usable(cell_rows: DataFrame) -> DataFrame:

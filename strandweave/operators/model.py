@@ -58,6 +58,12 @@ class Cells:
     def __init__(self, x: np.ndarray, possible: np.ndarray, freq: np.ndarray, sizes: np.ndarray, cids: list[int]):
         self.x, self.possible, self.freq, self.sizes, self.cids = x, possible, freq, sizes, cids
 
+    def only(self, cids: list[int]) -> Cells:
+        """The same cells for fewer variants; cells that none of them has go."""
+        at = [self.cids.index(c) for c in cids]
+        keep = self.freq[:, at].sum(1) > 0
+        return Cells(self.x[keep], self.possible[keep], self.freq[keep][:, at], self.sizes[at], list(cids))
+
     def fit(self, cids: list[int], most: int = 5000, tol: float = 1e-11) -> Fit | None:
         """EM to convergence; None if some observed cell can't come from these variants."""
         at = [self.cids.index(c) for c in cids]
@@ -141,3 +147,19 @@ def metropolis(cells: Cells, steps: int, burn: int, chain: int, seed: int = 1234
         if i >= burn:
             out.append(p)
     return np.array(out)
+
+
+def chains(spark, cells: Cells, steps: int, burn: int, count: int, seed: int = 12345) -> list[float]:
+    """Mean proportions over ``count`` chains, each walked by a task of its own. Only means leave the tasks."""
+    walk, shipped = metropolis, spark.sparkContext.broadcast(cells)  # a row for each bin and sub-path
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for chain in b.column(0).to_pylist():
+                means = walk(shipped.value, steps, burn, chain, seed).mean(0)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(means)), pa.int32()), pa.array(means)], names=["i", "m"])
+
+    got = spark.range(0, count, 1, count).mapInArrow(run, "i int, m double").groupBy("i").agg(F.avg("m").alias("m"))
+    return [r["m"] for r in sorted(got.collect())]

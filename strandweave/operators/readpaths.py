@@ -35,17 +35,17 @@ def coverage(counts: DataFrame) -> DataFrame:
 
 
 def start_index(counts: DataFrame) -> DataFrame:
-    """sub, starts: for each proper beginning of a read path (either strand) the paths that continue it."""
+    """sub, path, n: a row for each proper beginning of a read path (either strand) and path that continues it."""
     both = counts.select(F.explode(F.array_distinct(F.array("path", P.reverse_path(F.col("path"))))).alias("p"), "n")
     heads = both.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), lambda k: F.slice("p", F.lit(1), k))).alias("sub"), "p", "n").filter(F.size("sub") < F.size("p"))
-    return heads.groupBy("sub").agg(F.array_sort(F.collect_set(F.struct(F.col("p").alias("path"), "n"))).alias("starts"))
+    return heads.select("sub", F.col("p").alias("path"), "n").distinct()
 
 
 def middle_index(counts: DataFrame) -> DataFrame:
-    """sub, holders: for each interior run of a read path (either strand) the paths that hold it."""
+    """sub, path, n: a row for each interior run of a read path (either strand) and path that holds it."""
     both = counts.select(F.explode(F.array_distinct(F.array("path", P.reverse_path(F.col("path"))))).alias("p"), "n").filter(F.size("p") > 2)
     runs = both.select(F.explode(F.array_distinct(P.windows(F.slice("p", F.lit(2), F.size("p") - 2), F.size("p") - 2))).alias("sub"), "p", "n")
-    return runs.groupBy("sub").agg(F.array_sort(F.collect_set(F.struct(F.col("p").alias("path"), "n"))).alias("holders"))
+    return runs.select("sub", F.col("p").alias("path"), "n").distinct()
 
 
 def longest(counts: DataFrame) -> DataFrame:

@@ -88,11 +88,16 @@ def sub_paths(variants: DataFrame, longest_alignment: int, counts: DataFrame | N
     # What each step adds to a run: its length less its overlap with the step before.
     ext = variants.select("cid", "circular", n.alias("n"), rep("path").alias("p"), rep("lens").alias("ls"), rep("ovs").alias("os"))
     ext = ext.withColumn("adds", F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.get("ls", i) - F.when(i == 0, 0).otherwise(F.get("os", i - 1))))
-    starts = ext.select("cid", "p", "adds", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    runs = starts.select("cid", "p", "adds", "i", F.explode(F.sequence(F.lit(1), F.size("p") - F.col("i"))).alias("k"))
-    inner = total(F.slice("adds", F.col("i") + 2, F.greatest(F.col("k") - 2, F.lit(0))))
-    fit = runs.filter((F.col("k") <= 2) | (inner <= longest_alignment - 2))
-    out = fit.groupBy("cid", P.canonical(F.slice("p", F.col("i") + 1, F.col("k"))).alias("path")).agg(F.count("*").cast("int").alias("freq"))
+    # Running sums of what the steps add, so that a run's inner length is a difference.
+    steps = ext.select("cid", "n", F.posexplode(F.arrays_zip("p", "adds")).alias("j", "x"))
+    sums = F.sum("x.adds").over(Window.partitionBy("cid").orderBy("j"))
+    rows = steps.select("cid", "n", "j", F.col("x.p").alias("s"), sums.alias("sum")).groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("j", "s", "sum"))).alias("r"))
+    ends = rows.select("cid", "n", F.transform("r", lambda x: x["s"]).alias("p"), F.transform("r", lambda x: x["sum"]).alias("sums"))
+    starts = ends.select("cid", "p", "sums", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    inner = lambda k: F.get("sums", F.col("i") + k - 2) - F.get("sums", F.col("i"))
+    fits = F.filter(F.sequence(F.lit(1), F.size("p") - F.col("i")), lambda k: (k <= 2) | (inner(k) <= longest_alignment - 2))
+    runs = starts.select("cid", F.explode(F.transform(fits, lambda k: F.slice("p", F.col("i") + 1, k))).alias("run"))
+    out = runs.groupBy("cid", P.canonical(F.col("run")).alias("path")).agg(F.count("*").cast("int").alias("freq"))
     return out.join(counts.select("path"), "path", "left_semi") if counts is not None else out
 
 

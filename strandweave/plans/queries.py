@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,81 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
+class Parts:
+    """What the queries on variants and models share within one call; each part is computed once and cut in the
+    checkpoint folder when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def reads(self) -> DataFrame:
+        return G.checkpointed(A.reads(self.spark, self.d))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return G.checkpointed(A.links_of(self.reads))
+
+    @cached_property
+    def contigs(self) -> DataFrame:
+        return G.checkpointed(A.contigs(self.spark, self.d))
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return G.checkpointed(R.count_paths(self.reads))
+
+    @cached_property
+    def supported(self) -> DataFrame:
+        return G.checkpointed(R.supported(self.paths, 3))
+
+    @cached_property
+    def ringed(self) -> DataFrame:
+        return G.circular(A.variants(self.spark, self.d), self.links)
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        return G.checkpointed(V.measured(self.ringed, self.contigs, self.links))
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return V.sizes(self.measured)
+
+    @cached_property
+    def every_sub(self) -> DataFrame:
+        """All runs of variants that an alignment can span."""
+        return G.checkpointed(V.sub_paths(self.measured, LONGEST))
+
+    @cached_property
+    def subs(self) -> DataFrame:
+        """Those that are supported read paths."""
+        return G.checkpointed(V.sub_paths(self.measured, LONGEST, self.supported))
+
+    @cached_property
+    def described(self) -> DataFrame:
+        """Ranges of the observed sub-paths of all variants."""
+        held = self.subs.select("path").distinct().withColumn("cid", F.xxhash64(Q(F.col("path"))))
+        return G.checkpointed(B.describe(V.measured(held, self.contigs, self.links)))
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return self.reads.select(P.canonical(F.col("path")).alias("path"), (F.col("len") / 4).cast("int").alias("len"), F.lit(1).cast("long").alias("n"))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return B.cells(G.checkpointed(B.placed_lengths(self.described, self.lengths)), self.described, self.lengths)
+
+    @cached_property
+    def likelihood(self) -> DataFrame:
+        props = self.sizes.select("cid", F.lit(1 / 25).alias("prop"))
+        return M.log_likelihood(B.usable(self.cells), self.subs, self.sizes, props)
+
+    @cached_property
+    def model_cells(self) -> M.Cells:
+        alone = V.unidentifiable(self.subs, self.sizes).filter("cid = representative").select("cid")
+        sized = G.checkpointed(self.sizes.join(alone, "cid"))
+        return M.gather(B.usable(self.cells), self.subs.join(sized.select("cid"), "cid"), sized)
+
+
 # --- read paths ---
 
 
@@ -84,7 +160,7 @@ def contig_coverage_from_graph(spark, d):
 )
 def read_start_index(spark, d):
     got = R.start_index(R.supported(R.count_paths(A.reads(spark, d)), 3).select("path", "n"))
-    return got.select(Q(F.col("sub")).alias("sub"), F.size("starts").cast("long").alias("n_paths"), F.aggregate("starts", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_reads"))
+    return got.groupBy("sub").agg(F.count("*").alias("n_paths"), F.sum("n").alias("n_reads")).select(Q(F.col("sub")).alias("sub"), "n_paths", "n_reads")
 
 
 @register(
@@ -95,7 +171,7 @@ def read_start_index(spark, d):
 )
 def read_middle_index(spark, d):
     got = R.middle_index(R.supported(R.count_paths(A.reads(spark, d)), 3).select("path", "n"))
-    return got.select(Q(F.col("sub")).alias("sub"), F.size("holders").cast("long").alias("n_paths"), F.aggregate("holders", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_reads"))
+    return got.groupBy("sub").agg(F.count("*").alias("n_paths"), F.sum("n").alias("n_reads")).select(Q(F.col("sub")).alias("sub"), "n_paths", "n_reads")
 
 
 # --- alignments ---
@@ -273,8 +349,9 @@ def remove_vertices(spark, d):
     SELECT {gaf('pc.p')} AS path, bad.p IS NULL AS ok FROM pc LEFT JOIN bad ON pc.p = bad.p""",
 )
 def path_in_graph(spark, d):
-    pc = R.count_paths(A.reads(spark, d)).withColumn("pid", Q(F.col("path")))
-    return G.paths_in_graph(pc.select("pid", "path"), A.contigs(spark, d), A.contig_links(spark, d)).select(F.col("pid").alias("path"), "ok")
+    x = Parts(spark, d)
+    pc = x.paths.withColumn("pid", Q(F.col("path")))
+    return G.paths_in_graph(pc.select("pid", "path"), x.contigs, x.links).select(F.col("pid").alias("path"), "ok")
 
 
 CIRC = "SELECT cid, p, EXISTS (SELECT 1 FROM he WHERE v1 = p[len(p)].n AND e1 = p[len(p)].e AND v2 = p[1].n AND e2 = (NOT p[1].e)) AS circular FROM va"
@@ -505,7 +582,8 @@ LENS = """lens AS (SELECT x.k, x.i, x.n, sg.len, coalesce(he.overlap, 0) AS ov F
 
 @register("path_lengths", f"WITH src AS (SELECT p AS k, p FROM pc), {LENS} SELECT {gaf('k')} AS path, full_len, inner_len FROM meas")
 def path_lengths(spark, d):
-    m = V.measured(R.count_paths(A.reads(spark, d)).withColumn("cid", F.xxhash64(Q(F.col("path")))), A.contigs(spark, d), A.contig_links(spark, d))
+    x = Parts(spark, d)
+    m = V.measured(x.paths.withColumn("cid", F.xxhash64(Q(F.col("path")))), x.contigs, x.links)
     return m.select(Q(F.col("path")).alias("path"), V.full_length().alias("full_len"), V.inner_length().alias("inner_len"))
 
 
@@ -516,30 +594,25 @@ SEQS = f"""WITH src AS (SELECT cid AS k, p FROM va), {LENS}, ci AS ({CIRC}),
 
 @register("path_sequences", SEQS)
 def path_sequences(spark, d):
-    links = A.contig_links(spark, d)
-    return V.path_sequence(G.circular(A.variants(spark, d), links), A.contigs(spark, d), links)
+    x = Parts(spark, d)
+    return V.path_sequence(x.ringed, x.contigs, x.links)
 
 
 # --- variants ---
 
 
-def measured_variants(spark, d) -> DataFrame:
-    links = A.contig_links(spark, d)
-    return V.measured(G.circular(A.variants(spark, d), links), A.contigs(spark, d), links)
-
-
 MEASURED = f"""src AS (SELECT cid AS k, p FROM va), {LENS}, ci AS ({CIRC}),
   vz AS (SELECT k AS cid, full_len - CASE WHEN circular THEN closing ELSE 0 END AS size, circular FROM meas JOIN ci ON ci.cid = k)"""
 
 
 @register("variant_sizes", f"WITH {MEASURED} SELECT cid, size, circular FROM vz")
 def variant_sizes(spark, d):
-    return V.sizes(measured_variants(spark, d)).select("cid", "size", "circular")
+    return Parts(spark, d).sizes.select("cid", "size", "circular")
 
 
 @register("size_filter", f"WITH {MEASURED} SELECT cid, size FROM vz WHERE size >= 0.5 * (SELECT max(size) FROM vz) OR cid < 2")
 def size_filter(spark, d):
-    v = V.sizes(measured_variants(spark, d)).withColumn("source", F.when(F.col("cid") < 2, "user_fixed").otherwise("search"))
+    v = Parts(spark, d).sizes.withColumn("source", F.when(F.col("cid") < 2, "user_fixed").otherwise("search"))
     return V.size_filter(v, 0.5).select("cid", "size")
 
 
@@ -572,19 +645,14 @@ def sub_sql() -> str:
 SUB = sub_sql()
 
 
-def subs(spark, d, seen: bool = True) -> DataFrame:
-    counts = R.supported(R.count_paths(A.reads(spark, d)), 3) if seen else None
-    return V.sub_paths(measured_variants(spark, d), LONGEST, counts)
-
-
 @register("variant_subpath_counts", f"WITH {SUB} SELECT cid, {gaf('vs.p')} AS path, freq FROM vs JOIN sup ON vs.p = sup.p")
 def variant_subpath_counts(spark, d):
-    return subs(spark, d).select("cid", Q(F.col("path")).alias("path"), "freq")
+    return Parts(spark, d).subs.select("cid", Q(F.col("path")).alias("path"), "freq")
 
 
 @register("variant_all_subpaths", f"WITH {SUB} SELECT cid, {gaf('vs.p')} AS path, freq FROM vs")
 def variant_all_subpaths(spark, d):
-    return subs(spark, d, False).select("cid", Q(F.col("path")).alias("path"), "freq")
+    return Parts(spark, d).every_sub.select("cid", Q(F.col("path")).alias("path"), "freq")
 
 
 OBS = f"{SUB}, ob AS (SELECT cid, vs.p, freq, sup.n FROM vs JOIN sup ON vs.p = sup.p)"
@@ -596,44 +664,36 @@ OBS = f"{SUB}, ob AS (SELECT cid, vs.p, freq, sup.n FROM vs JOIN sup ON vs.p = s
     SELECT vz.cid, min(vz.cid) OVER (PARTITION BY f, size) AS representative FROM vz LEFT JOIN fp ON vz.cid = fp.cid""",
 )
 def unidentifiable_groups(spark, d):
-    return V.unidentifiable(subs(spark, d), V.sizes(measured_variants(spark, d)))
+    x = Parts(spark, d)
+    return V.unidentifiable(x.subs, x.sizes)
 
 
 @register("sub_path_variants", f"WITH {OBS} SELECT {gaf('p')} AS path, array_to_string(list(cid || ':' || freq ORDER BY cid), ',') AS variants FROM ob GROUP BY p")
 def sub_path_variants(spark, d):
-    got = V.from_variants(subs(spark, d))
+    got = V.from_variants(Parts(spark, d).subs)
     return got.select(Q(F.col("path")).alias("path"), F.array_join(F.transform(F.map_entries("variants"), lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"].cast("string"))), ",").alias("variants"))
 
 
 @register("uncovered_read_paths", f"WITH {SUB} SELECT {gaf('sup.p')} AS path, n FROM sup WHERE p NOT IN (SELECT p FROM vs)")
 def uncovered_read_paths(spark, d):
-    counts = R.supported(R.count_paths(A.reads(spark, d)), 3)
-    return R.uncovered(counts, subs(spark, d, False)).select(Q(F.col("path")).alias("path"), "n")
+    x = Parts(spark, d)
+    return R.uncovered(x.supported, x.every_sub).select(Q(F.col("path")).alias("path"), "n")
 
 
 @register("coverage_ratio", f"WITH {SUB} SELECT sum(CASE WHEN p NOT IN (SELECT p FROM vs) THEN n ELSE 0 END) / sum(n) AS uncovered_ratio FROM sup")
 def coverage_ratio(spark, d):
-    return R.coverage_ratio(R.supported(R.count_paths(A.reads(spark, d)), 3), subs(spark, d, False))
+    x = Parts(spark, d)
+    return R.coverage_ratio(x.supported, x.every_sub)
 
 
 @register("indispensable_variants", f"WITH {OBS} SELECT DISTINCT cid FROM (SELECT min(cid) AS cid FROM ob GROUP BY p HAVING count(*) = 1)")
 def indispensable_variants(spark, d):
-    return V.indispensable(subs(spark, d))
+    return V.indispensable(Parts(spark, d).subs)
 
 
 # --- bins and model ---
 
 
-def described(spark, d) -> DataFrame:
-    """Ranges of the observed sub-paths of all variants."""
-    held = subs(spark, d).select("path").distinct().withColumn("cid", F.xxhash64(Q(F.col("path"))))
-    return B.describe(V.measured(held, A.contigs(spark, d), A.contig_links(spark, d)))
-
-
-def read_lengths(spark, d) -> DataFrame:
-    return A.reads(spark, d).select(P.canonical(F.col("path")).alias("path"), (F.col("len") / 4).cast("int").alias("len"))
-
-
 LENS2 = LENS.replace("lens AS", "lens2 AS").replace("FROM src", "FROM src2").replace("FROM lens ", "FROM lens2 ").replace("meas AS", "meas2 AS")
 BINS = f"""{OBS}, src2 AS (SELECT DISTINCT p AS k, p FROM ob), {LENS2},
   de AS (SELECT k AS p, n AS steps, full_len, inner_len, left_free, right_free, CASE WHEN n > 1 THEN inner_len + 2 ELSE 1 END AS lo, full_len AS hi FROM meas2
@@ -651,47 +711,37 @@ CELLS = f"""{BINS}, ma AS (SELECT bin_id, rl.p, count(*) AS num_matched FROM rl
 
 @register("sub_path_ranges", f"WITH {BINS} SELECT {gaf('p')} AS path, lo, hi, left_free, right_free FROM de WHERE steps > 1")
 def sub_path_ranges(spark, d):
-    return described(spark, d).filter("steps > 1").select(Q(F.col("path")).alias("path"), "lo", "hi", "left_free", "right_free")
+    return Parts(spark, d).described.filter("steps > 1").select(Q(F.col("path")).alias("path"), "lo", "hi", "left_free", "right_free")
 
 
 @register("length_bins", f"WITH {BINS} SELECT bin_id, lo, hi FROM bi")
 def length_bins(spark, d):
-    return B.length_bins(described(spark, d), read_lengths(spark, d))
-
-
-def cells(spark, d) -> DataFrame:
-    de, rl = G.checkpointed(described(spark, d)), read_lengths(spark, d)
-    return B.cells(G.checkpointed(B.length_bins(de, rl)), de, rl)
+    x = Parts(spark, d)
+    return B.length_bins(x.described, x.lengths)
 
 
 @register("bin_cells", f"WITH {CELLS} SELECT bin_id, {gaf('p')} AS path, num_matched, round(num_possible_x, 6) AS num_possible_x FROM ce")
 def bin_cells(spark, d):
-    return cells(spark, d).select("bin_id", Q(F.col("path")).alias("path"), "num_matched", F.round("num_possible_x", 6).alias("num_possible_x"))
+    return Parts(spark, d).cells.select("bin_id", Q(F.col("path")).alias("path"), "num_matched", F.round("num_possible_x", 6).alias("num_possible_x"))
 
 
 @register("bin_usable_cells", f"WITH {CELLS} SELECT bin_id, {gaf('p')} AS path, num_matched FROM ce WHERE num_possible_x >= 1")
 def bin_usable_cells(spark, d):
-    return B.usable(cells(spark, d)).select("bin_id", Q(F.col("path")).alias("path"), "num_matched")
+    return B.usable(Parts(spark, d).cells).select("bin_id", Q(F.col("path")).alias("path"), "num_matched")
 
 
 LIKE = f"""{CELLS}, uc AS (SELECT * FROM ce WHERE num_possible_x >= 1), wt AS (SELECT p, sum(freq / 25.0::DOUBLE) AS w FROM ob GROUP BY p), tl AS (SELECT sum(size / 25.0::DOUBLE) AS t FROM vz),
   ll AS (SELECT sum(num_matched * ln(num_possible_x * w / t)) AS loglik, sum(num_matched)::BIGINT AS n FROM uc JOIN wt ON uc.p = wt.p, tl)"""
 
 
-def likelihood(spark, d) -> DataFrame:
-    sized = V.sizes(measured_variants(spark, d))
-    props = sized.select("cid", F.lit(1 / 25).alias("prop"))
-    return M.log_likelihood(B.usable(cells(spark, d)), subs(spark, d), sized, props)
-
-
 @register("loglik_at_uniform", f"WITH {LIKE} SELECT round(loglik, 4) AS loglik, n FROM ll")
 def loglik_at_uniform(spark, d):
-    return likelihood(spark, d).select(F.round("loglik", 4).alias("loglik"), "n")
+    return Parts(spark, d).likelihood.select(F.round("loglik", 4).alias("loglik"), "n")
 
 
 @register("aic_bic", f"WITH {LIKE} SELECT round(2 * 25 - 2 * loglik, 4) AS aic, round(ln(n) * 25 - 2 * loglik, 4) AS bic FROM ll")
 def aic_bic(spark, d):
-    return likelihood(spark, d).select(F.round(T.aic(F.col("loglik"), F.lit(25)), 4).alias("aic"), F.round(T.bic(F.col("loglik"), F.lit(25), F.col("n")), 4).alias("bic"))
+    return Parts(spark, d).likelihood.select(F.round(T.aic(F.col("loglik"), F.lit(25)), 4).alias("aic"), F.round(T.bic(F.col("loglik"), F.lit(25), F.col("n")), 4).alias("bic"))
 
 
 def _em_sql() -> str:
@@ -706,14 +756,14 @@ def _em_sql() -> str:
 
 @register("em_proportions", _em_sql())
 def em_proportions(spark, d):
-    observed = B.usable(cells(spark, d)).groupBy("path").agg(F.sum("num_matched").cast("double").alias("x"))
-    got = M.em_steps(observed, subs(spark, d), V.sizes(measured_variants(spark, d)), EM_ROUNDS)
+    x = Parts(spark, d)
+    observed = B.usable(x.cells).groupBy("path").agg(F.sum("num_matched").cast("double").alias("x"))
+    got = M.em_steps(observed, x.subs, x.sizes, EM_ROUNDS)
     return got.select("cid", F.round("prop", 9).alias("prop"))
 
 
 def model_cells(spark, d) -> M.Cells:
-    sized = V.sizes(measured_variants(spark, d)).join(V.unidentifiable(subs(spark, d), V.sizes(measured_variants(spark, d))).filter("cid = representative").select("cid"), "cid")
-    return M.gather(B.usable(cells(spark, d)), subs(spark, d).join(sized.select("cid"), "cid"), sized)
+    return Parts(spark, d).model_cells
 
 
 @register("fitted_proportions")
@@ -849,23 +899,17 @@ def conflict_edges(spark, d):
 # --- pangenome ---
 
 
-def best_variants(spark, d) -> DataFrame:
-    """The five variants of most steps (then least cid), with their topology."""
-    v = A.variants(spark, d).orderBy(F.desc(F.size("path")), "cid").limit(5)
-    return G.circular(v, A.contig_links(spark, d))
-
-
-def best_props(spark, d) -> DataFrame:
-    return best_variants(spark, d).select("cid", (1 / (F.col("cid") + 1)).alias("prop"))
+def best_props(variants: DataFrame) -> DataFrame:
+    return variants.select("cid", (1 / (F.col("cid") + 1)).alias("prop"))
 
 
-BEST = f"bv AS (SELECT c.cid, c.p, c.circular FROM ({CIRC}) c JOIN (SELECT cid FROM va ORDER BY len(p) DESC, cid LIMIT 5) b ON c.cid = b.cid), bp AS (SELECT cid, 1.0::DOUBLE / (cid + 1) AS prop FROM bv)"
+BEST = f"bv AS (SELECT cid, p, circular FROM ({CIRC})), bp AS (SELECT cid, 1.0::DOUBLE / (cid + 1) AS prop FROM bv)"
 #: A block table that SQL can state too: every step of a variant is its own block, shared by equal contig names.
 FIXED = "fb AS (SELECT cid, vid, dense_rank() OVER (ORDER BY n) - 1 AS block_id, 0 AS pos, e FROM (SELECT cid, i - 1 AS vid, p[i].n AS n, p[i].e AS e FROM bv, unnest(range(1, len(p) + 1)) AS r(i)))"
 
 
-def fixed_blocks(spark, d) -> DataFrame:
-    steps = best_variants(spark, d).select("cid", F.posexplode("path").alias("vid", "s")).select("cid", "vid", F.col("s.n").alias("n"), F.col("s.e").alias("e"))
+def fixed_blocks(variants: DataFrame) -> DataFrame:
+    steps = variants.select("cid", F.posexplode("path").alias("vid", "s")).select("cid", "vid", F.col("s.n").alias("n"), F.col("s.e").alias("e"))
     return steps.select("cid", "vid", (F.dense_rank().over(Window.orderBy("n")) - 1).alias("block_id"), F.lit(0).alias("pos"), "e")
 
 
@@ -874,7 +918,7 @@ def variant_index(spark, d):
     from ..operators import pangenome as PG
 
     long = lambda c: F.coalesce(c, F.lit(-1)).cast("long").alias(c)
-    return PG.index(best_variants(spark, d)).select("cid", long("vid"), "n", "e", long("next_vid"), long("prev_vid"))
+    return PG.index(Parts(spark, d).ringed).select("cid", long("vid"), "n", "e", long("next_vid"), long("prev_vid"))
 
 
 @register("vertex_copy_distribution", "SELECT name, max(c) AS max_copies, count(*) AS n_variants FROM (SELECT s.n AS name, cid, count(*) AS c FROM (SELECT cid, unnest(p) AS s FROM va) GROUP BY ALL) GROUP BY name")
@@ -888,8 +932,8 @@ def vertex_copy_distribution(spark, d):
 def colinear_blocks(spark, d):
     from ..operators import pangenome as PG
 
-    every = G.circular(A.variants(spark, d), A.contig_links(spark, d))
-    return PG.colinear_blocks(every, every.select("cid", (1 / (F.col("cid") + 1)).alias("prop")), A.contigs(spark, d))
+    x = Parts(spark, d)
+    return PG.colinear_blocks(G.checkpointed(x.ringed), best_props(x.ringed), x.contigs)
 
 
 @register(
@@ -901,8 +945,9 @@ def colinear_blocks(spark, d):
 def coverage_division(spark, d):
     from ..operators import pangenome as PG
 
-    blocks = fixed_blocks(spark, d).withColumn("block_id", F.col("e").cast("int"))
-    return PG.coverage_division(blocks, best_variants(spark, d), best_props(spark, d)).select("name", "block_id", F.round("share", 9).alias("share"))
+    own = Parts(spark, d).ringed
+    blocks = fixed_blocks(own).withColumn("block_id", F.col("e").cast("int"))
+    return PG.coverage_division(blocks, own, best_props(own)).select("name", "block_id", F.round("share", 9).alias("share"))
 
 
 @register(
@@ -914,8 +959,9 @@ def coverage_division(spark, d):
 def renamed_copies(spark, d):
     from ..operators import pangenome as PG
 
-    blocks = fixed_blocks(spark, d).withColumn("block_id", F.col("e").cast("int"))
-    return PG.renamed(blocks, best_variants(spark, d)).select("cid", F.col("vid").cast("long").alias("vid"), "new")
+    own = Parts(spark, d).ringed
+    blocks = fixed_blocks(own).withColumn("block_id", F.col("e").cast("int"))
+    return PG.renamed(blocks, own).select("cid", F.col("vid").cast("long").alias("vid"), "new")
 
 
 @register(
@@ -927,14 +973,16 @@ def renamed_copies(spark, d):
 def pangenome_edges(spark, d):
     from ..operators import pangenome as PG
 
-    return PG.pangenome_graph(fixed_blocks(spark, d), best_variants(spark, d), best_props(spark, d), A.contigs(spark, d), A.contig_links(spark, d))[1]
+    x = Parts(spark, d)
+    return PG.pangenome_graph(fixed_blocks(x.ringed), x.ringed, best_props(x.ringed), x.contigs, x.links)[1]
 
 
 @register("pangenome_segments", f"WITH {BEST} SELECT name, len, round(cov, 6) AS cov FROM sg WHERE name IN (SELECT s.n FROM (SELECT unnest(p) AS s FROM bv))")
 def pangenome_segments(spark, d):
     from ..operators import pangenome as PG
 
-    return PG.pangenome_graph(fixed_blocks(spark, d), best_variants(spark, d), best_props(spark, d), A.contigs(spark, d), A.contig_links(spark, d))[0].select("name", "len", F.round("cov", 6).alias("cov"))
+    x = Parts(spark, d)
+    return PG.pangenome_graph(fixed_blocks(x.ringed), x.ringed, best_props(x.ringed), x.contigs, x.links)[0].select("name", "len", F.round("cov", 6).alias("cov"))
 
 
 @register(
@@ -949,7 +997,8 @@ def block_table(spark, d):
     from ..operators import pangenome as PG
 
     # Every step is its own stretch here: positions of neighbours in a one-cell block never differ by one.
-    return PG.block_table(fixed_blocks(spark, d), best_variants(spark, d), A.contigs(spark, d), A.contig_links(spark, d), gap=100).withColumn("block", F.col("block").cast("long"))
+    x = Parts(spark, d)
+    return PG.block_table(fixed_blocks(x.ringed), x.ringed, x.contigs, x.links, gap=100).withColumn("block", F.col("block").cast("long"))
 
 
 # --- small statistics, lookups and tables ---
@@ -972,11 +1021,10 @@ def harmony_weights(spark, d):
     return A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(T.harmony_weights((F.col("s_suppkey") + 1).cast("double"), 0.5, "s_nationkey"), 9).alias("weight"))
 
 
-@register("breakpoint_lookup", "WITH b AS (SELECT list(DISTINCT o_custkey ORDER BY o_custkey) AS x FROM orders WHERE o_custkey % 7 = 0) SELECT c_custkey AS seek, len(list_filter(x, lambda v: v <= c_custkey)) - 1 AS idx, c_custkey - x[len(list_filter(x, lambda v: v <= c_custkey))] AS gap FROM customer, b")
+@register("breakpoint_lookup", "WITH b AS (SELECT list(DISTINCT o_custkey ORDER BY o_custkey) AS x FROM orders) SELECT c_custkey AS seek, len(list_filter(x, lambda v: v <= c_custkey)) - 1 AS idx, c_custkey - x[len(list_filter(x, lambda v: v <= c_custkey))] AS gap FROM customer, b")
 def breakpoint_lookup(spark, d):
-    breaks = A.table(spark, d, "orders").filter("o_custkey % 7 = 0").agg(F.array_sort(F.collect_set("o_custkey")).alias("x"))
-    got = A.table(spark, d, "customer").crossJoin(F.broadcast(breaks)).select(F.col("c_custkey").alias("seek"), T.index_in_breaks(F.col("x"), F.col("c_custkey")).alias("r"))
-    return got.select("seek", F.col("r.i").cast("long").alias("idx"), "r.gap")
+    seeks = A.table(spark, d, "customer").select(F.col("c_custkey").alias("seek"))
+    return T.floor_in(seeks, "seek", A.table(spark, d, "orders"), "o_custkey")
 
 
 @register(
@@ -996,7 +1044,7 @@ def transition_counts(spark, d):
 def path_offsets(spark, d):
     from ..operators import simulate as SI
 
-    got = SI.offsets(measured_variants(spark, d)).select("cid", F.posexplode("starts").alias("vid", "start"))
+    got = SI.offsets(Parts(spark, d).measured).select("cid", F.posexplode("starts").alias("vid", "start"))
     return got.select("cid", F.col("vid").cast("long").alias("vid"), "start")
 
 
@@ -1007,7 +1055,7 @@ def copy_numbers(spark, d):
 
 @register("lost_subpaths", f"WITH {SUB} SELECT {gaf('p')} AS path FROM (SELECT DISTINCT p FROM vs WHERE cid < 10 EXCEPT SELECT DISTINCT p FROM vs WHERE cid >= 10)")
 def lost_subpaths(spark, d):
-    every = subs(spark, d, False)
+    every = Parts(spark, d).every_sub
     return every.filter("cid < 10").select("path").subtract(every.filter("cid >= 10").select("path")).select(Q(F.col("path")).alias("path"))
 
 
@@ -1026,25 +1074,26 @@ def shared_contigs(spark, d):
       {bandage_sql('ci.p')} || CASE WHEN ci.circular THEN '(circular)' ELSE '' END AS "PATH" FROM vz JOIN ci ON vz.cid = ci.cid LEFT JOIN u ON u.cid = vz.cid""",
 )
 def variants_info(spark, d):
-    v = V.sizes(measured_variants(spark, d))
-    fids = v.filter("cid < 5").select("cid", (F.col("cid") + 1).alias("fid"))
-    return W.variant_info(fids, v, V.unidentifiable(subs(spark, d), v))
+    x = Parts(spark, d)
+    fids = x.sizes.filter("cid < 5").select("cid", (F.col("cid") + 1).alias("fid"))
+    return W.variant_info(fids, x.sizes, V.unidentifiable(x.subs, x.sizes))
 
 
 @register(
     "readpath_information",
-    f"""WITH {OBS} SELECT {gaf('sup.p')} AS path, {', '.join(f"coalesce(max(CASE WHEN cid = {c} THEN freq END), 0) AS fid_{c + 1}" for c in range(4))}, any_value(sup.n) AS num_reads
+    f"""WITH {OBS} SELECT {gaf('sup.p')} AS path, {', '.join(f"coalesce(max(CASE WHEN cid = {c} THEN freq END), 0) AS fid_{c + 1}" for c in range(25))}, any_value(sup.n) AS num_reads
     FROM sup LEFT JOIN ob ON ob.p = sup.p GROUP BY sup.p""",
 )
 def readpath_information(spark, d):
-    held = subs(spark, d).filter("cid < 4").select((F.col("cid") + 1).alias("fid"), "path", "freq")
-    return W.readpath_info(R.supported(R.count_paths(A.reads(spark, d)), 3).select("path", "n"), held, [1, 2, 3, 4])
+    x = Parts(spark, d)
+    held = x.subs.select((F.col("cid") + 1).alias("fid"), "path", "freq")
+    return W.readpath_info(x.supported.select("path", "n"), held, list(range(1, 26)))
 
 
-@register("replicate_table", f"""SELECT c_mktsegment AS rep, {', '.join(f'coalesce(round(avg(CASE WHEN c_nationkey = {k} THEN c_acctbal END), 6), 0) AS fid_{k}' for k in range(4))} FROM customer WHERE c_nationkey < 4 GROUP BY 1""")
+@register("replicate_table", f"""SELECT c_mktsegment AS rep, {', '.join(f'coalesce(round(avg(CASE WHEN c_nationkey = {k} THEN c_acctbal END), 6), 0) AS fid_{k}' for k in range(25))} FROM customer GROUP BY 1""")
 def replicate_table(spark, d):
-    c = A.table(spark, d, "customer").filter("c_nationkey < 4").groupBy(F.col("c_mktsegment").alias("rep"), F.col("c_nationkey").alias("fid")).agg(F.round(F.avg("c_acctbal"), 6).alias("prop"))
-    return W.replicate_table(c, [0, 1, 2, 3])
+    c = A.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("rep"), F.col("c_nationkey").alias("fid")).agg(F.round(F.avg("c_acctbal"), 6).alias("prop"))
+    return W.replicate_table(c, list(range(25)))
 
 
 @register(
@@ -1072,8 +1121,8 @@ def fasta_lines(spark, d):
 
 @register("walks")
 def walks(spark, d):
-    counts = R.supported(R.count_paths(A.reads(spark, d)), 3).select("path", "n")
-    got = SE.search(spark, A.contigs(spark, d), A.contig_links(spark, d), counts, SE.Settings(longest_alignment=LONGEST, longest_walk=60))
+    x = Parts(spark, d)
+    got = SE.search(spark, x.contigs, x.links, x.supported.select("path", "n"), SE.Settings(longest_alignment=LONGEST))
     return got.select(Q(F.col("path")).alias("path"), "circular", "n", "first")
 
 
@@ -1081,7 +1130,7 @@ def walks(spark, d):
 def simulated_reads(spark, d):
     from ..operators import simulate as SI
 
-    v = measured_variants(spark, d)
+    v = Parts(spark, d).measured
     n = v.count()
     props = v.select("cid", (F.lit(1.0) / n).alias("prop"))
     return SI.simulate(spark, v, props, SI.read_lengths(spark, 3000, 1500, 500_000)).select("record_id", Q(F.col("path")).alias("path"), "p_start", "p_end", "p_len", "cid")
