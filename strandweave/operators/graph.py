@@ -13,6 +13,10 @@ from ..functions import paths as P
 from ..functions.sequences import reverse_complement
 
 
+#: Steps of a round of pruning that share a checkpoint.
+PEELS = 3
+
+
 def symmetric(links: DataFrame) -> DataFrame:
     """Both directions of every link, once; of repeated links the greatest overlap."""
     back = links.select(F.col("v2").alias("v1"), F.col("e2").alias("e1"), F.col("v1").alias("v2"), F.col("e1").alias("e2"), "overlap")
@@ -65,7 +69,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             told = tempfile.mkdtemp(prefix="strandweave-")
         sc.setCheckpointDir(told)
-    return df.checkpoint(eager=True)
+    # A checkpointed plan carries its constraints along, and those of a union of its own halves may name columns that it
+    # no longer has; planned without them, it has none to carry.
+    conf = df.sparkSession.conf
+    before = conf.get(CONSTRAINTS)
+    conf.set(CONSTRAINTS, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(CONSTRAINTS, before)
+
+
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
 def component_weights(segments: DataFrame, components: DataFrame) -> DataFrame:
@@ -103,15 +118,17 @@ def purge_by_depth(segments: DataFrame, share: float) -> DataFrame:
 
 
 def prune_terminal(segments: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Take away contigs with a bare end until there is none."""
-    before = segments.count()
+    """Take away contigs with a bare end until there is none. A checkpointed round peels ``PEELS`` contigs off a chain."""
+    links, before = checkpointed(links), -1
+    segments = checkpointed(segments)
+    names = segments.select("name")
     while True:
-        whole = links.groupBy(F.col("v1").alias("name")).agg(F.count_distinct("e1").alias("ends")).filter("ends = 2").select("name")
-        segments = checkpointed(segments.join(whole, "name", "left_semi"))
-        links = checkpointed(known_only(links, segments))
-        after = segments.count()
+        for _ in range(PEELS):
+            names = known_only(links, names).groupBy(F.col("v1").alias("name")).agg(F.count_distinct("e1").alias("ends")).filter("ends = 2").select("name").join(names, "name", "left_semi")
+        names = checkpointed(names)
+        after = names.count()
         if after == before or after == 0:
-            return segments, links
+            return segments.join(names, "name", "left_semi"), known_only(links, names)
         before = after
 
 
@@ -180,6 +197,22 @@ def palindromic_repeats(segments: DataFrame, links: DataFrame) -> DataFrame:
     return ends.join(own, "name", "left").filter((F.col("tail") == F.col("head")) | F.col("own")).select("name")
 
 
+def split_palindromes(segments: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links without the doubled ones of simple palindromes, and the names of the others.
+
+    A contig that equals its reverse complement can be read either way, so its links stand at both ends. With two
+    neighbours each end keeps one (the head the first by name, the tail the second); with one neighbour nothing changes;
+    any other such contig is a repeat to be corrected in paths.
+    """
+    same = palindromic_repeats(segments, links)
+    ends = checkpointed(end_links(segments.join(same, "name", "left_semi"), links.join(same.withColumnRenamed("name", "v1"), "v1", "left_semi")))
+    many = lambda n: (F.size("tail") == n) & (F.size("head") == n)
+    pair = ends.filter(many(2)).select("name", "tail")
+    gone = pair.select(F.col("name").alias("v1"), F.explode(F.array(F.struct(F.lit(False).alias("e1"), F.get("tail", F.lit(1)).alias("to")), F.struct(F.lit(True).alias("e1"), F.get("tail", F.lit(0)).alias("to")))).alias("x")).select("v1", "x.e1", F.col("x.to.n").alias("v2"), F.col("x.to.e").alias("e2"))
+    both = gone.union(gone.select("v2", "e2", "v1", "e1")).distinct()
+    return links.join(both, ["v1", "e1", "v2", "e2"], "left_anti").select(links.columns), ends.filter(~many(2) & ~many(1)).select("name")
+
+
 def trim_overlaps(segments: DataFrame, links: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
     """Cut a uniform overlap off: half of it (rounded down) from each head, the rest from each tail; links overlap no
     more. Overlap 0 changes nothing; a contig not longer than the overlap is an error."""

@@ -117,24 +117,31 @@ class Blocks:
 
 
 def colinear_blocks(variants: DataFrame, props: DataFrame, segments: DataFrame) -> DataFrame:
-    """block_id, pos, cid, vid, e. The variants are the few best ones of a fit, so they form one group."""
-    lens = F.map_from_entries(F.collect_list(F.struct("name", "len")))
-    rows = variants.join(props, "cid").select("cid", "circular", "prop", F.transform("path", lambda x: x["n"]).alias("ns"), F.transform("path", lambda x: x["e"]).alias("es"))
-    one = rows.crossJoin(F.broadcast(segments.agg(F.to_json(lens).alias("lens")))).withColumn("g", F.lit(0))
+    """block_id, pos, cid, vid, e. Variants that share contigs, directly or through others, form one group (a block can't
+    reach beyond it); the variants of a fit are few, and the search is held by their number and steps."""
+    from .graph import checkpointed, connected_components
 
-    def run(pdf):
-        import json
+    steps = variants.select("cid", F.posexplode("path").alias("vid", "s")).select("cid", "vid", F.col("s.n").alias("name"), F.col("s.e").alias("e"))
+    node, contig = F.concat(F.lit("v"), F.col("cid").cast("string")), F.concat(F.lit("c"), F.col("name"))
+    edges = steps.select(node.alias("v1"), contig.alias("v2")).distinct()
+    group = connected_components(edges.select(F.col("v1").alias("name")).distinct(), edges).select(F.substring("name", 2, 100).cast(variants.schema["cid"].dataType).alias("cid"), F.col("component").alias("g"))
+    own = steps.join(segments.select("name", "len"), "name", "left").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("vid", "name", "e", F.coalesce("len", F.lit(1)).alias("len")))).alias("steps"))
+    rows = variants.select("cid", "circular").join(props, "cid").join(own, "cid").join(group, "cid").select("g", "cid", "circular", "prop", F.transform("steps", lambda x: x["name"]).alias("ns"), F.transform("steps", lambda x: x["e"]).alias("es"), F.transform("steps", lambda x: x["len"]).alias("ls"))
 
+    def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("cid")
         paths = [list(zip(list(ns), [bool(e) for e in es], strict=True)) for ns, es in zip(pdf["ns"], pdf["es"], strict=True)]
-        b = Blocks(paths, [bool(x) for x in pdf["circular"]], [float(x) for x in pdf["prop"]], json.loads(pdf["lens"].iloc[0]))
+        lens = {n: int(x) for ns, ls in zip(pdf["ns"], pdf["ls"], strict=True) for n, x in zip(ns, ls, strict=True)}
+        b = Blocks(paths, [bool(x) for x in pdf["circular"]], [float(x) for x in pdf["prop"]], lens)
         cids = [int(c) for c in pdf["cid"]]
-        out = [(i, pos, cids[p], v, bool(e)) for i, block in enumerate(b.search()) for pos, cell in enumerate(block) for p, v, e in cell]
-        return pd.DataFrame(out, columns=["block_id", "pos", "cid", "vid", "e"])
+        out = [(cids[0], i, pos, cids[p], v, bool(e)) for i, block in enumerate(b.search()) for pos, cell in enumerate(block) for p, v, e in cell]
+        return pd.DataFrame(out, columns=["first", "i", "pos", "cid", "vid", "e"])
 
-    return one.groupBy("g").applyInPandas(run, "block_id int, pos int, cid int, vid int, e boolean")
+    found = checkpointed(rows.groupBy("g").applyInPandas(run, "first int, i int, pos int, cid int, vid int, e boolean"))
+    numbers = found.select("first", "i").distinct().withColumn("block_id", F.row_number().over(Window.orderBy("first", "i")) - 1)  # a row a block
+    return found.join(numbers, ["first", "i"]).select("block_id", "pos", "cid", "vid", "e")
 
 
 def coverage_division(blocks: DataFrame, variants: DataFrame, props: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ def numbered(records: DataFrame, *order: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "part").withColumn("idx", F.col("start") + F.col("at")).drop("m", "part", "at", "start")
 
 
-def bootstrap(records: DataFrame, replicates: int, seed: int = 12345) -> DataFrame:
+def bootstrap(records: DataFrame, replicates: int, seed: int = 12345, first: int = 1) -> DataFrame:
     """rep, idx, n: how often each record (``idx`` from 0, gapless) is drawn in each replicate; every replicate draws as
     many as there are. One job for all replicates."""
     total = records.agg(F.count("*").alias("total"))
-    slots = records.select("idx").crossJoin(F.broadcast(total)).select("total", "idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    slots = records.select("idx").crossJoin(F.broadcast(total)).select("total", "idx", F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1))).alias("rep"))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("idx").cast("string"))
     return slots.select("rep", draw(key, F.col("total")).alias("idx")).groupBy("rep", "idx").agg(F.count("*").alias("n"))
 
@@ -36,8 +36,13 @@ def jackknife(records: DataFrame, replicates: int, leave: int, seed: int = 12345
     """rep, idx: each replicate leaves out the ``leave`` records of lowest hash."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("idx").cast("string")).cast("binary"))
     slots = records.select("idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(key, "idx"))
-    out = slots.withColumn("place", place).filter(F.col("place") <= leave).select("rep", "idx")
+    slots = slots.withColumn("key", key).withColumn("head", F.substring("key", 1, 4))
+    # Of 65,536 classes of hashes those that hold the ``leave`` lowest; rows are ranked within a class only.
+    sizes = slots.groupBy("rep", "head").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("rep").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    low = sizes.select("rep", "head", before.alias("before")).filter(F.col("before") < leave)
+    place = F.col("before") + F.row_number().over(Window.partitionBy("rep", "head").orderBy("key", "idx"))
+    out = slots.join(low, ["rep", "head"]).withColumn("place", place).filter(F.col("place") <= leave).select("rep", "idx")
     return slots.select("rep", "idx").join(out, ["rep", "idx"], "left_anti")
 
 
@@ -62,6 +67,17 @@ def can_still_reach(best: int, done: int, planned: int, threshold: float) -> boo
     return (best + planned - done) / planned >= threshold
 
 
+def last_useful(solutions: list[tuple], planned: int, threshold: float) -> tuple[int, bool]:
+    """How many of the replicates' solutions count, and whether some solution can still reach the wanted support: the
+    first replicate after which none can is the last."""
+    counts: dict[tuple, int] = {}
+    for done, s in enumerate(solutions, 1):
+        counts[s] = counts.get(s, 0) + 1
+        if not can_still_reach(max(counts.values()), done, planned, threshold):
+            return done, False
+    return len(solutions), True
+
+
 def first_seen(chosen: DataFrame) -> DataFrame:
     """cid, fid: variants numbered from 1 in the order of their first solution (``place``) and cid."""
     first = chosen.groupBy("cid").agg(F.min("place").alias("place"))

@@ -31,7 +31,7 @@ class Settings:
     differ: float = 1.0
     inertia: float = 1.0
     longest_alignment: int = 100_000
-    longest_walk: int = 400
+    longest_walk: int | None = None
     similarity: float = 0.85
     start: str = "random"
     seed: int = 12345
@@ -150,7 +150,8 @@ def walk(w: World, s: Settings, number: int) -> list[Step]:
     at = number % len(w.paths) if s.start == "numerate" else int(rng.integers(len(w.paths)))
     path = list(w.strand(at, bool(rng.integers(2))))
     turned = False
-    while len(path) < s.longest_walk:
+    # Ends with probability 1: where no contig is new, every step must pass a draw.
+    while s.longest_walk is None or len(path) < s.longest_walk:
         more = extend(w, s, rng, path)
         while more:  # take the longest part of it that the contigs' depths allow
             r = copy_ratio(w, path, more)
@@ -203,13 +204,15 @@ def split_units(w: World, path: list[Step], similarity: float, seen: set) -> lis
 
 def candidates(spark: SparkSession, w: World, s: Settings, walks: int, first: int = 0) -> DataFrame:
     """path, circular, n, first: distinct valid results of walks ``first`` to ``first + walks``."""
-    sent_settings, sent = s, w
+    sent_settings, shipped = s, spark.sparkContext.broadcast(w)  # its size is checked in ``world``
     go = walk
 
     def run(batches):
         import pandas as pd
 
-        sent.build()
+        sent = shipped.value  # one object for all tasks of a worker
+        if not sent.starts:
+            sent.build()
         for pdf in batches:
             out = []
             seen = {frozenset({(a, b), ((b[0], not b[1]), (a[0], not a[1]))}) for p, _ in sent.paths for a, b in zip(p, p[1:], strict=False)}
@@ -245,6 +248,8 @@ def search(spark: SparkSession, segments: DataFrame, links: DataFrame, counts: D
         raise ValueError("no read path to start from")
     found, done, goal, same, last = None, 0, least, 0, None
     reads = sum(n for _, n in w.paths)
+    wanted, held, counted = {q for q, _ in w.paths}, set(), set()
+    lengths = sorted({len(q) for q in wanted})
     while done < min(goal, most_walks):
         n = min(goal, most_walks) - done
         new = candidates(spark, w, s, n, done)
@@ -252,14 +257,14 @@ def search(spark: SparkSession, segments: DataFrame, links: DataFrame, counts: D
         both = new if found is None else found.unionByName(new)
         found = checkpointed(both.groupBy("path", "circular").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
         rows = found.orderBy("first").limit(most_unique + 1).collect()
-        held: set = set()
-        for r in rows:
+        for r in rows:  # at most ``most_unique`` + 1, each looked at once
+            if r["first"] in counted:
+                continue
+            counted.add(r["first"])
             p = [(x["n"], x["e"]) for x in r["path"]]
-            ext = p * 3 if r["circular"] else p
+            ext = p * (2 + -(-lengths[-1] // len(p))) if r["circular"] else p
             for strand in (ext, reverse(ext)):
-                for q, _ in w.paths:
-                    if q not in held and any(tuple(strand[i : i + len(q)]) == q for i in range(len(strand) - len(q) + 1)):
-                        held.add(q)
+                held |= wanted & {tuple(strand[i : i + k]) for k in lengths for i in range(len(strand) - k + 1)}
         rho = sum(c for q, c in w.paths if q not in held) / reads
         same = same + 1 if rho == last else 0
         last = rho
