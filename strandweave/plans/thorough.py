@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +22,12 @@ from ..operators import variants as V
 from ..sources import readers, writers
 
 
+#: A solution of at most this support isn't fitted again, and isn't made the result.
+LEAST_SUPPORT = 0.05
+#: Chains of the posterior, each a task of its own.
+CHAINS = 4
+
+
 @dataclass
 class Options:
     graph: str = ""
@@ -61,9 +66,23 @@ class Options:
     mcmc: int = 0
     burn: int = 1000
     previous: str = "terminate"
+    output_alignment: bool = False
     depth_goal: float = 300.0
 
 
+@dataclass
+class Solution:
+    """One set of variants that replicates chose. Log-likelihood and criterion are those of a refit to all data, or None where
+    there was none; then the proportions are the replicates' means. ``stds`` is empty for a single replicate."""
+
+    cids: tuple[int, ...]
+    support: float
+    props: dict[int, float]
+    loglik: float | None = None
+    criterion: float | None = None
+    stds: list[float] = field(default_factory=list)
+
+
 @dataclass
 class Result:
     options: Options
@@ -75,22 +94,32 @@ class Result:
     props: dict[int, float]
     loglik: float
     criterion: float
-    support: list[tuple[str, float]] = field(default_factory=list)
+    members: dict[int, list[int]] = field(default_factory=dict)
+    best: dict[int, float] = field(default_factory=dict)
+    raw: tuple[int, ...] = ()
+    raw_props: dict[int, float] = field(default_factory=dict)
+    solutions: list[Solution] = field(default_factory=list)
+    eligible: bool = True
     replicates: list[tuple[int, int, float]] = field(default_factory=list)
     posterior: dict[int, float] = field(default_factory=dict)
 
+    @property
+    def support(self) -> list[tuple[str, float]]:
+        return [(",".join(map(str, sorted(s.cids))), s.support) for s in self.solutions]
+
 
 def cells_of(spark: SparkSession, variants: DataFrame, subs: DataFrame, reads: DataFrame, segments: DataFrame, links: DataFrame) -> M.Cells:
     held = subs.select("path").distinct().withColumn("cid", F.xxhash64(P.to_gaf(F.col("path"))))
     de = G.checkpointed(B.describe(V.measured(held, segments, links)))
-    bins = G.checkpointed(B.length_bins(de, reads))
-    return M.gather(B.usable(B.cells(bins, de, reads)), subs, variants)
+    counted = reads.withColumn("n", F.lit(1).cast("long"))
+    placed = G.checkpointed(B.placed_lengths(de, counted))
+    return M.gather(B.usable(B.cells(placed, de, counted)), subs, variants)
 
 
 def thorough(spark: SparkSession, o: Options) -> Result:
     """Graph and alignment files in, variants with proportions and support out; result tables go to ``o.output``."""
     if o.output:
-        prepare(o)
+        prepare(spark, o)
     segments, links, _ = readers.read_gfa(spark, o.graph) if not o.graph.endswith(".fastg") else (*readers.read_fastg(spark, o.graph), None)
     segments, links = G.checkpointed(segments.drop("attrs")), G.checkpointed(links)
     comp = G.checkpointed(G.connected_components(segments, links))
@@ -106,6 +135,8 @@ def thorough(spark: SparkSession, o: Options) -> Result:
         got = AL.auto_identity(AL.by_read(records), graph_len.first()[0] * o.depth_goal, 5000 if length < 0 else length, 0.95 if identity < 0 else identity, id_end=None if identity < 0 else 1e-5).first()
         identity, length = (0.95 if identity < 0 else identity) + got["id_adj"], (5000 if length < 0 else length) + got["ln_adj"]
     records = G.checkpointed(AL.filter_reads(records, length, identity))
+    if o.output and o.output_alignment:
+        writers.write_lines(writers.gaf_lines(records), f"{o.output}/filtered.gaf", one=False)
     if o.check_conflicts != "ignore":
         conflicts(spark, o, records, segments, links)
     least = o.min_align_counts if o.min_align_counts >= 0 else AL.auto_counts(records, graph_len).first()[0]
@@ -131,7 +162,7 @@ def thorough(spark: SparkSession, o: Options) -> Result:
     # Candidates: the user's first, then the search's in the order of their first walk.
     user = user_variants(spark, o, links)
     saved = f"{o.output}/candidates.parquet" if o.output else ""
-    if o.previous == "resume" and saved and os.path.isdir(saved):
+    if o.previous == "resume" and saved and filesystem(spark, saved)[0].exists(filesystem(spark, saved)[1]):
         searched = readers.load_candidates(spark, saved)
     else:
         longest = reads.agg(F.max("len")).first()[0]
@@ -141,7 +172,10 @@ def thorough(spark: SparkSession, o: Options) -> Result:
             writers.save_candidates(searched, saved)
     merged = V.merge_candidates(user, searched.select("path", F.lit("search").alias("source"), F.col("first").alias("ord")))
     measured = V.measured(G.circular(merged, links), segments, links).join(merged.select("cid", "source"), "cid")
-    kept = V.size_filter(V.sizes(measured).join(merged.select("cid", "source"), "cid"), o.size_ratio)
+    kept = G.checkpointed(V.size_filter(V.sizes(measured).join(merged.select("cid", "source"), "cid"), o.size_ratio))
+    if o.output:
+        ids = searched.select("path", F.col("first").alias("sid")).join(merged.select("path", "cid"), "path").join(kept.select("cid"), "cid", "left_semi")
+        table(ids.select("sid", "cid").orderBy("sid"), f"{o.output}/sid.to.cid.tab")
     variants = G.checkpointed(measured.join(kept.select("cid", "size"), "cid"))
     longest = reads.agg(F.max("len")).first()[0]
     subs = G.checkpointed(V.sub_paths(variants, longest, counts))
@@ -154,15 +188,18 @@ def thorough(spark: SparkSession, o: Options) -> Result:
     members: dict[int, list[int]] = {}
     for r in groups.collect():
         members.setdefault(r["representative"], []).append(r["cid"])
-    out = Result(o, segments, links, counts, variants.select("cid", "path", "circular", "size", "source"), groups, M.split_merged(fit, members), fit.loglik, fit.criterion(o.criterion))
+    chosen = dict(zip(fit.cids, map(float, fit.props), strict=True))
+    out = Result(o, segments, links, counts, variants.select("cid", "path", "circular", "size", "source"), groups, M.split_merged(fit, members), fit.loglik, fit.criterion(o.criterion), members, chosen, tuple(sorted(chosen)), chosen)
     if o.bootstrap:
-        support(spark, out, cells, reads, stand_in, own, fixed)
+        support(spark, out, cells, fit, reads, own, fixed)
+        out.props = M.split_merged(M.Fit(list(out.best), list(out.best.values()), 0.0, 0), members)
     if o.mcmc:
-        few = M.Cells(cells.x, cells.possible, cells.freq, cells.sizes, cells.cids)
-        draws = M.metropolis(few, o.mcmc, o.burn, 0, o.seed)
-        out.posterior = dict(zip(cells.cids, draws.mean(0).tolist(), strict=True))
+        # Candidates of the best solution only; the chains are tasks of one job.
+        few = cells.only(sorted(out.best))
+        draws = M.chains(spark, few, o.mcmc, o.burn, CHAINS, o.seed)
+        out.posterior = dict(zip(few.cids, draws, strict=True))
     if o.output:
-        write_results(spark, out)
+        write_results(spark, out, reads)
     return out
 
 
@@ -188,12 +225,27 @@ def conflicts(spark: SparkSession, o: Options, records: DataFrame, segments: Dat
     raise ValueError(f"alignments conflict with the graph: over {limit} reads break off in one window")
 
 
-def prepare(o: Options) -> None:
-    if os.path.isdir(o.output) and os.listdir(o.output) and o.previous == "terminate":
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as one of its own: outputs may lie in any store that Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def prepare(spark: SparkSession, o: Options) -> None:
+    files, place = filesystem(spark, o.output)
+    if o.previous == "terminate" and files.exists(place) and len(files.listStatus(place)):
         raise FileExistsError(f"{o.output} isn't empty; choose resume or overwrite")
-    os.makedirs(o.output, exist_ok=True)
-    with open(f"{o.output}/options.yaml", "w") as f:
-        f.writelines(f"{k}: {v!r}\n" for k, v in sorted(asdict(o).items()))
+    files.mkdirs(place)
+    out = files.create(filesystem(spark, f"{o.output}/options.yaml")[1], True)
+    try:
+        out.write(bytearray("".join(f"{k}: {v!r}\n" for k, v in sorted(asdict(o).items())), "utf-8"))
+    finally:
+        out.close()
+
+
+def table(df: DataFrame, path: str) -> None:
+    """A small table as one tab-separated file in the folder ``path``."""
+    df.coalesce(1).write.mode("overwrite").option("header", "true").option("sep", "\t").csv(path)
 
 
 def user_variants(spark: SparkSession, o: Options, links: DataFrame) -> DataFrame:
@@ -207,53 +259,129 @@ def user_variants(spark: SparkSession, o: Options, links: DataFrame) -> DataFram
     return out
 
 
-def support(spark: SparkSession, out: Result, cells: M.Cells, reads: DataFrame, variants: DataFrame, subs: DataFrame, fixed: frozenset[int]) -> None:
-    """Refit every replicate of the bootstrap. All replicates are drawn and binned in one job; a replicate's cells are a
-    row for each bin and sub-path, and each fit is one group."""
+def replicate_fits(spark: SparkSession, out: Result, cells: M.Cells, numbered: DataFrame, described: DataFrame, subs: DataFrame, fixed: frozenset[int], reps: range) -> list[tuple[int, int, float]]:
+    """(rep, cid, prop) of replicates ``reps``: each draws as many records as there are, bins the lengths it drew by the
+    sub-paths it drew, leaves out cells in which no read can start, and selects its model. All of them in one job; a
+    replicate's cells are a row for each bin and sub-path, and each fit is one group."""
     o = out.options
-    numbered = RS.numbered(reads.select("record_id", "path"), "record_id")
-    drawn = RS.bootstrap(numbered.select("idx"), o.bootstrap, o.seed).join(numbered, "idx").groupBy("rep", "path").agg(F.sum("n").alias("x"))
-    freq = {}
-    for r in subs.select("cid", "path", "freq").collect():
-        freq.setdefault(tuple(tuple(s) for s in r["path"]), {})[r["cid"]] = r["freq"]
+    drawn = RS.bootstrap(numbered.select("idx"), len(reps), o.seed, reps.start).join(numbered, "idx")
+    reads = G.checkpointed(drawn.groupBy("rep", "path", "len").agg(F.sum("n").alias("n")))
+    own = G.checkpointed(reads.select("rep", "path").distinct().join(described, "path"))
+    placed = G.checkpointed(B.placed_lengths(own, reads, ("rep",)))
+    rows = B.usable(B.cells(placed, own, reads, ("rep",))).select("rep", P.to_gaf(F.col("path")).alias("pid"), "num_matched", "num_possible_x")
+    freq: dict = {}
+    for r in subs.select("cid", P.to_gaf(F.col("path")).alias("pid"), "freq").collect():  # as in ``gather``
+        freq.setdefault(r["pid"], {})[r["cid"]] = r["freq"]
     cids, sizes, kind, Model = cells.cids, cells.sizes, o.criterion, M.Cells
 
     def refit(pdf):
         import numpy as np
         import pandas as pd
 
-        rows = [(tuple((s["n"], s["e"]) for s in p), x) for p, x in zip(pdf["path"], pdf["x"], strict=True)]
-        rows = sorted((p, x) for p, x in rows if p in freq)
-        c = Model(np.array([x for _, x in rows], float), np.ones(len(rows)), np.array([[freq[p].get(i, 0) for i in cids] for p, _ in rows], float), sizes, cids)
-        fit = c.select(kind, fixed)
+        pdf = pdf[pdf["pid"].isin(freq.keys())].sort_values(["pid", "num_possible_x"])
+        f = np.array([[freq[p].get(i, 0) for i in cids] for p in pdf["pid"]], float).reshape(len(pdf), len(cids))
+        c = Model(pdf["num_matched"].to_numpy(float), pdf["num_possible_x"].to_numpy(float), f, sizes, cids)
+        fit = c.select(kind, fixed) if len(pdf) else None
+        if fit is None:
+            return pd.DataFrame({"rep": [], "cid": [], "prop": []})
         return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])] * len(fit.cids), "cid": fit.cids, "prop": fit.props})
 
-    got = G.checkpointed(drawn.groupBy("rep").applyInPandas(refit, "rep int, cid int, prop double"))
-    out.replicates = [(r["rep"], r["cid"], r["prop"]) for r in got.orderBy("rep", "cid").collect()]
-    raw = ",".join(map(str, sorted(out.props)))
-    out.support = [(r["solution"], r["support"]) for r in RS.ordered(RS.support(got), raw).collect()]
+    got = rows.groupBy("rep").applyInPandas(refit, "rep int, cid int, prop double")
+    return sorted((r["rep"], r["cid"], r["prop"]) for r in got.collect())  # a row for each replicate and variant
+
+
+def support(spark: SparkSession, out: Result, cells: M.Cells, fit: M.Fit, reads: DataFrame, subs: DataFrame, fixed: frozenset[int]) -> None:
+    """Bootstrap until the planned replicates are done, or no solution can reach the wanted support any more; then
+    judge the solutions on all data. The best supported one becomes the result."""
+    o = out.options
+    numbered = G.checkpointed(RS.numbered(reads.select("record_id", "path", "len"), "record_id"))
+    held = subs.select("path").distinct().withColumn("cid", F.xxhash64(P.to_gaf(F.col("path"))))
+    described = G.checkpointed(B.describe(V.measured(held, out.segments, out.links)))
+    step = max(8, spark.sparkContext.defaultParallelism)
+    chosen: dict[int, dict[int, float]] = {}
+    for start in range(1, o.bootstrap + 1, step):
+        for rep, cid, prop in replicate_fits(spark, out, cells, numbered, described, subs, fixed, range(start, min(o.bootstrap + 1, start + step))):
+            chosen.setdefault(rep, {})[cid] = prop
+        done, out.eligible = RS.last_useful([tuple(sorted(chosen[r])) for r in sorted(chosen)], o.bootstrap, o.bootstrap_threshold)
+        if not out.eligible:
+            chosen = {r: chosen[r] for r in sorted(chosen)[:done]}
+            break
+    out.replicates = [(r, c, p) for r in sorted(chosen) for c, p in sorted(chosen[r].items())]
+    out.solutions = judged(out, cells, fit, [chosen[r] for r in sorted(chosen)])
+    if out.solutions and out.solutions[0].cids != out.raw and out.solutions[0].support > LEAST_SUPPORT:
+        out.best = out.solutions[0].props
+
+
+def judged(out: Result, cells: M.Cells, fit: M.Fit, replicates: list[dict[int, float]]) -> list[Solution]:
+    """The solutions of replicates, best supported first (the raw result first among equals). Those of some support are
+    fitted again to all data if the bootstrap came to its end; of the others the replicates' means stand."""
+    import numpy as np
+
+    seen: dict[int, int] = {}
+    for props in replicates:
+        for c, _ in sorted(props.items(), key=lambda x: (-x[1], x[0])):
+            seen.setdefault(c, len(seen))
+    held: dict[tuple[int, ...], list[list[float]]] = {}
+    for props in replicates:
+        cids = tuple(sorted(props))
+        held.setdefault(cids, []).append([props[c] for c in cids])
+    order = sorted(held, key=lambda c: (-len(held[c]), c != out.raw, sorted(seen[x] for x in c)))
+    made = []
+    for i, cids in enumerate(order):
+        values = np.array(held[cids])
+        s = Solution(cids, len(values) / len(replicates), dict(zip(cids, values.mean(0).tolist(), strict=True)), stds=values.std(0, ddof=1).tolist() if len(values) > 1 else [])
+        again = fit if cids == out.raw else cells.fit(list(cids)) if out.eligible and (s.support > LEAST_SUPPORT or not i) else None
+        if again is not None:
+            s.props, s.loglik, s.criterion = dict(zip(again.cids, map(float, again.props), strict=True)), again.loglik, again.criterion(out.options.criterion)
+        made.append(s)
+    return made
+
+
+def final_rows(r: Result, fids: dict[int, int]) -> tuple[list[tuple], list[tuple]]:
+    """Rows (solution, support, log-likelihood, criterion, deviations) and (solution, fid, prop) of the final table. A raw
+    result that no replicate chose comes last, with support 0."""
+    text = lambda x: "*" if x is None else f"{x:.4f}"
+    listed = list(r.solutions)
+    if not any(s.cids == r.raw for s in listed):
+        listed.append(Solution(r.raw, 0.0 if r.solutions else 1.0, r.raw_props, r.loglik, r.criterion))
+    width = len(str(len(listed)))
+    rows = [(f"{i + 1:0{width}d}", s.support, text(s.loglik), text(s.criterion), ",".join(f"{x:.4f}" for x in s.stds) or ",".join("*" * len(s.cids))) for i, s in enumerate(listed)]
+    return rows, [(f"{i + 1:0{width}d}", fids[c], float(p)) for i, s in enumerate(listed) for c, p in s.props.items()]
 
 
-def write_results(spark: SparkSession, r: Result) -> None:
+def write_results(spark: SparkSession, r: Result, reads: DataFrame) -> None:
     """Tables, sequences and the pangenome graph of a result."""
     o = r.options
-    order = {c: i + 1 for i, c in enumerate(dict.fromkeys([*[int(c) for s, _ in r.support for c in s.split(",")], *sorted(r.props)]))}
+    order = {c: i + 1 for i, c in enumerate(dict.fromkeys([*[c for s in r.solutions for c in s.cids], *r.raw, *sorted(r.props)]))}
     fids = spark.createDataFrame(list(order.items()), "cid int, fid int")
-    tab = lambda df, name: df.coalesce(1).write.mode("overwrite").option("header", "true").option("sep", "\t").csv(f"{o.output}/{name}")
-    tab(writers.variant_info(fids, r.variants, r.groups), "variants.info.tab")
+    table(writers.variant_info(fids, r.variants, r.groups), f"{o.output}/variants.info.tab")
+    numbered = G.checkpointed(RS.numbered(r.counts.select("path"), "path").select("path", "idx"))
     longest = r.counts.agg(F.max(F.size("path"))).first()[0]
     measured = V.measured(r.variants, r.segments, r.links)
     subs = V.sub_paths(measured, int(longest) * int(r.segments.agg(F.max("len")).first()[0]), r.counts).join(fids, "cid")
-    tab(writers.readpath_info(r.counts, subs, sorted(order.values())), "readpath.information.tab")
-    solutions = r.support or [(",".join(map(str, sorted(r.props))), 1.0)]
-    mine = ",".join(map(str, sorted(r.props)))
-    rows = [(s, float(p), r.loglik if s == mine else None, r.criterion if s == mine else None) for s, p in solutions]
-    sol = spark.createDataFrame(rows, f"solution string, BOOTSTRAP_SUPPORT double, LOGLIKELIHOOD double, {o.criterion} double")
-    props = spark.createDataFrame([(mine, order[c], float(p)) for c, p in r.props.items()], "solution string, fid int, prop double")
-    tab(writers.result_table(sol, props, sorted(order.values())).withColumnRenamed("solution", "SOLUTIONS"), "final.result.tab")
+    named = numbered.select(P.to_gaf(F.col("path")).alias("path"), F.col("idx").alias("rp_id"))
+    info = writers.readpath_info(r.counts, subs, sorted(order.values())).join(named, "path")
+    table(info.select("rp_id", *[c for c in info.columns if c != "rp_id"]).orderBy("rp_id"), f"{o.output}/readpath.information.tab")
+    writers.record_ids(numbered, reads).orderBy("rp_id").write.mode("overwrite").option("header", "true").option("sep", "\t").csv(f"{o.output}/readpath.record_ids.tab")
+    rows, shares = final_rows(r, order)
+    sol = spark.createDataFrame(rows, f"solution string, BOOTSTRAP_SUPPORT double, LOGLIKELIHOOD string, {o.criterion} string, FREQ_STD_OF_BOOTSTRAP string")
+    made = writers.result_table(sol, spark.createDataFrame(shares, "solution string, fid int, prop double"), sorted(order.values()))
+    table(made.select(F.col("solution").alias("SOLUTIONS"), *[c for c in made.columns if c not in ("solution", "FREQ_STD_OF_BOOTSTRAP")], "FREQ_STD_OF_BOOTSTRAP").orderBy("SOLUTIONS"), f"{o.output}/final.result.tab")
     if r.replicates:
-        reps = spark.createDataFrame([(a, order[b], c) for a, b, c in r.replicates if b in order], "rep int, fid int, prop double")
-        tab(writers.replicate_table(reps, sorted(order.values())), "bootstraps.replicates.tab")
+        reps = spark.createDataFrame([(a, order[b], c) for a, b, c in r.replicates], "rep int, fid int, prop double")
+        table(writers.replicate_table(reps, sorted(order.values())).orderBy("rep"), f"{o.output}/bootstraps.replicates.tab")
+    # A file for each chosen variant with all that can't be told from it.
+    listed = sorted((c for c, p in r.best.items() if p >= o.min_output_share), key=lambda c: (order[c], c))
+    uid, held = 0, []
+    for place, c in enumerate(listed):
+        for sub, member in enumerate(sorted(r.members[c])):
+            uid += 1
+            held.append((member, place, sub, len(r.members[c]), uid, float(r.best[c])))
+    if held:
+        files = spark.createDataFrame(held, "cid int, place int, sub int, many int, uid int, prop double")
+        own = r.variants.join(files.select("cid"), "cid", "left_semi").select("cid", "path", "circular")
+        lines = writers.variant_fasta(V.path_sequence(own, r.segments, r.links).join(files, "cid").join(fids, "cid", "left"))
+        lines.repartition("file").sortWithinPartitions("file", "sub").select("file", "value").write.mode("overwrite").partitionBy("file").text(f"{o.output}/variants")
     best = spark.createDataFrame([(c, float(p)) for c, p in r.props.items() if p >= o.min_output_share], "cid int, prop double")
     chosen = r.variants.join(best.select("cid"), "cid", "left_semi").select("cid", "path", "circular")
     seqs = V.path_sequence(chosen, r.segments, r.links).join(best, "cid").join(fids, "cid")
@@ -278,7 +406,7 @@ def simulate(spark: SparkSession, graph: str, variant_file: str, props: list[flo
     mean, std = SI.LENGTHS[technology] if technology in SI.LENGTHS else map(float, technology.split(","))
     reads = G.checkpointed(SI.simulate(spark, variants, shares, SI.read_lengths(spark, mean, std, bases, seed), seed))
     if gaf:
-        writers.write_lines(writers.gaf_lines(reads), gaf, "gzip" if gaf.endswith(".gz") else None)
+        writers.write_lines(writers.gaf_lines(reads), gaf, "gzip" if gaf.endswith(".gz") else None, one=False)
     if fasta:
         own = reads.select(F.col("record_id").alias("cid"), "path", F.lit(False).alias("circular"), "p_start", "p_align_len", "query_name")
         seqs = V.path_sequence(own, segments, links).join(own, "cid")

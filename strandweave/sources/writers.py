@@ -28,9 +28,10 @@ def gfa_lines(segments: DataFrame, links: DataFrame, graph_paths: DataFrame | No
     return out
 
 
-def write_lines(lines: DataFrame, path: str, compression: str | None = None) -> None:
-    """One text file (part, key, value) in order, in the folder ``path``."""
-    made = lines.repartition(1).sortWithinPartitions("part", "key").select("value")
+def write_lines(lines: DataFrame, path: str, compression: str | None = None, one: bool = True) -> None:
+    """Lines (part, key, value) in order in the folder ``path``: one text file, or, for what grows with the reads, several
+    whose names are in order too."""
+    made = (lines.repartition(1) if one else lines.repartitionByRange("part", "key")).sortWithinPartitions("part", "key").select("value")
     made.write.mode("overwrite").text(path, compression=compression) if compression else made.write.mode("overwrite").text(path)
 
 
@@ -82,3 +83,18 @@ def replicate_table(props: DataFrame, fids: list[int]) -> DataFrame:
 
 def save_candidates(variants: DataFrame, path: str) -> None:
     variants.write.mode("overwrite").parquet(path)
+
+
+def record_ids(numbered: DataFrame, reads: DataFrame) -> DataFrame:
+    """rp_id, record_id (a comma list, rising). numbered: idx, path; reads: record_id, path."""
+    held = reads.join(numbered, "path").groupBy("idx").agg(F.array_join(F.array_sort(F.collect_list("record_id")).cast("array<string>"), ",").alias("record_id"))
+    return held.select(F.col("idx").alias("rp_id"), "record_id")
+
+
+def variant_fasta(seqs: DataFrame) -> DataFrame:
+    """file and value: a file for each chosen variant with all variants that can't be told from it. seqs: place (of the chosen
+    variant, from 0), fid, prop (of all of them), seq, sub (place within the file, from 0), many (how many there are), uid."""
+    freq = F.when(F.col("many") > 1, F.lit("freq<=")).otherwise(F.lit("freq="))
+    uid = F.concat(F.lit("uid="), F.col("uid").cast("string"), F.when(F.col("many") > 1, F.concat(F.lit("."), F.col("sub").cast("string"))).otherwise(""))
+    label = F.concat_ws(" ", F.concat(F.lit(">"), F.col("fid").cast("string")), F.concat(freq, F.format_string("%.4f", "prop")), F.format_string("len=%dbp", F.length("seq")), uid)
+    return seqs.select(F.format_string("variant.%04d.fasta", F.col("place").cast("int")).alias("file"), "sub", F.concat(label, F.lit("\n"), "seq").alias("value"))

@@ -83,6 +83,14 @@ def test_simulated_proportions_come_back(spark, tmp_path):
     got = {frozenset(paths[c]): p for c, p in r.props.items()}
     assert best and abs(got[frozenset("abd")] - 0.7) < 0.05 and abs(got[frozenset("acd")] - 0.3) < 0.05
     assert (tmp_path / "out" / "final.result.tab").is_dir() and (tmp_path / "out" / "pangenome.gfa").is_dir()
+    tab = lambda name: spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "out" / name))
+    final = tab("final.result.tab")
+    assert final.columns[:4] == ["SOLUTIONS", "BOOTSTRAP_SUPPORT", "LOGLIKELIHOOD", "BIC"] and final.columns[-1] == "FREQ_STD_OF_BOOTSTRAP"
+    assert all(x["LOGLIKELIHOOD"] != "*" for x in final.collect() if float(x["BOOTSTRAP_SUPPORT"]) > 0.05)
+    held = tab("readpath.record_ids.tab").collect()
+    assert {x["rp_id"] for x in held} == {x["rp_id"] for x in tab("readpath.information.tab").collect()} and len(held) > 1
+    assert tab("sid.to.cid.tab").columns == ["sid", "cid"]
+    assert len(list((tmp_path / "out" / "variants").glob("file=variant.*.fasta"))) == len(r.best) and (tmp_path / "out" / "options.yaml").is_file()
     with pytest.raises(FileExistsError):
         thorough(spark, Options(graph=g, alignment=str(tmp_path / "r.gaf"), output=str(tmp_path / "out")))
 
