@@ -7,8 +7,8 @@ block's hash picks a bucket of patterns with that suffix, a hash of the whole wi
 words confirms an occurrence. One-word patterns use blocks of one word.
 
 Words are maximal runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased. The
-benchmark's words are numbered, and patterns are places in one array of numbers, so the tables stay small: 8 MB of
-item text in 10-word windows take some 100 MB, built once in a worker process and kept for its later tasks.
+benchmark's words are numbered, and patterns are places in one array of numbers, so the tables stay small: 6 MB of
+item text in 10-word windows take some 180 MB, built once in a worker process and kept for its later tasks.
 
 Defined cases: a null or empty text has no words and no hits; a null or empty item, or one without words,
 has no windows; items with a null id are left out, or, with ``nameless``, their windows are hits that name no item;
@@ -31,7 +31,7 @@ from .common import map_rows, once
 
 WINDOW = 10
 #: Bytes of item text whose patterns one pass over the documents holds in each task.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
 
 OUT = T.StructType(
     [
