@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
 A piece of text (a match of the split pattern) is encoded by halves: each half is encoded recursively, down to halves that
-are tokens (single bytes always are), and two encoded neighbours are joined at their boundary. Joining re-encodes a
-window of tokens around the boundary and doubles it until both ends of the window are stable. Stability is proved by pairs: a
+are tokens (single bytes always are), and two encoded neighbours are joined at their boundary. Joining re-encodes the two
+tokens at the boundary and doubles that window until both its ends are stable. Stability is proved by pairs: a
 token sequence is the encoding of its bytes exactly when every two neighbouring tokens, encoded alone, come out as the
 same two tokens (until a first merge across some boundary, the merges on both sides of it run as they would for that
 pair alone, so a merge that crosses it in the whole would cross it in the pair). Joining is therefore associative,
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import map_rows, once
 
 #: Remembered pieces, halves and token pairs of a worker, each cleared when full. Longer halves than HALF bytes aren't kept.
-MEMO, HALF = 150_000, 32
+MEMO, HALF = 250_000, 24
 
 
 class Encoder:
@@ -39,8 +39,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self.stable: dict[int, bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        self.pairs: dict[int, list[int]] = {}
         self.halves: dict[bytes, list[int]] = {}
         self.joins = 0
 
@@ -63,46 +62,50 @@ class Encoder:
                 pair[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
         return [ranks[p] for p in parts]
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether the tokens a, b are the encoding of their joint bytes."""
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of the joint bytes of two tokens."""
         key = a << 32 | b
-        known = self.stable.get(key)
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.stable) >= MEMO:
-                self.stable.clear()
-            known = self.stable[key] = self.merge(self.token[a] + self.token[b]) == [a, b]
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
+            known = self.pairs[key] = self.merge(self.token[a] + self.token[b])
         return known
 
+    def fits(self, a: int, b: int) -> bool:
+        """Whether the tokens a, b are the encoding of their joint bytes."""
+        return self.pair(a, b) == [a, b]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two encoded neighbours."""
         self.joins += 1
-        if not left or not right or self.fits(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        window, width = self.pair(left[-1], right[0]), 1
+        if window == [left[-1], right[0]]:  # stable already, and so are the pairs beside it
             return left + right
-        width = 2
         while True:
             l, r = max(0, len(left) - width), min(len(right), width)
-            window = self.merge(b"".join(map(self.token.__getitem__, left[l:] + right[:r])))
             if (l == 0 or self.fits(left[l - 1], window[0])) and (r == len(right) or self.fits(window[-1], right[r])):
                 return left[:l] + window + right[r:]
             width *= 2
+            window = self.merge(b"".join(map(self.token.__getitem__, left[max(0, len(left) - width) :] + right[:width])))
 
     def half(self, part: bytes) -> list[int]:
         """The encoding of any bytes, joined from its halves."""
-        rank = self.ranks.get(part)
-        if rank is not None:
-            own = self.whole.get(part)
-            if own is None:
-                own = self.whole[part] = self.merge(part) == [rank]  # at most one entry a token
-            if own:
-                return [rank]
         known = self.halves.get(part)
-        if known is None:
+        if known is not None:
+            return known
+        rank = self.ranks.get(part)
+        if rank is not None and self.merge(part) == [rank]:
+            known = [rank]
+        else:
             middle = len(part) // 2
             known = self.join(self.half(part[:middle]), self.half(part[middle:]))
-            if len(part) <= HALF:
-                if len(self.halves) >= MEMO:
-                    self.halves.clear()
-                self.halves[part] = known
+        if len(part) <= HALF:
+            if len(self.halves) >= MEMO:
+                self.halves.clear()
+            self.halves[part] = known
         return known
 
     def piece(self, piece: bytes) -> list[int]:

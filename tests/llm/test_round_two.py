@@ -46,7 +46,7 @@ def test_halves_are_remembered_within_bounds(monkeypatch):
     for _ in range(200):
         p = "".join(rng.choice("abcdefxyz ") for _ in range(rng.randint(1, 60))).encode()
         assert e.half(p) == e.merge(p)
-        assert len(e.halves) <= 20 and len(e.stable) <= 20
+        assert len(e.halves) <= 20 and len(e.pairs) <= 20
     assert e.half(b"ab" * 20_000) == e.join(e.half(b"ab" * 10_000), e.half(b"ab" * 10_000))
 
 
