@@ -59,8 +59,13 @@ def orf_lengths(s: Column, threshold: int = 200, frame: int | None = None) -> Co
         codons = F.regexp_extract_all(F.substring(s, f + 1, (1 << 31) - 1), F.lit("(?s).{1,3}"), F.lit(0))
         letter = lambda c: F.when(c.isin(*STOP_CODONS), "*").when(c.isin(*START_CODONS), "M").otherwise(".")
         stretches = F.split(F.array_join(F.transform(codons, letter), ""), r"\*", -1)
-        sized = F.transform(stretches, lambda x, i: F.struct(F.when(F.instr(x, "M") > 0, (F.length(x) - F.instr(x, "M") + 1) * 3).otherwise(0).alias("n"), (i == F.size(stretches) - 1).alias("open")))
-        return F.transform(F.filter(sized, lambda x: (x["n"] > 0) & (x["open"] | (x["n"] >= threshold))), lambda x: x["n"])
+
+        def kept(st: Column) -> Column:
+            sized = F.transform(st, lambda x, i: F.struct(F.when(F.instr(x, "M") > 0, (F.length(x) - F.instr(x, "M") + 1) * 3).otherwise(0).alias("n"), (i == F.size(st) - 1).alias("open")))
+            return F.transform(F.filter(sized, lambda x: (x["n"] > 0) & (x["open"] | (x["n"] >= threshold))), lambda x: x["n"])
+
+        # Through a lambda, so that the stretches are made once and not again for each of them.
+        return F.get(F.transform(F.array(stretches), kept), F.lit(0))
 
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
     frames = F.array(*[of(f) for f in ((0, 1, 2) if frame is None else (frame,))])
