@@ -213,25 +213,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole_numbers(docs, id_col)
     slim = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc"), docs[f"`{text_col}`"].alias("text"))
 
-    # Seed: anchors of two documents or more, with the representative's surroundings. One exchange by anchor serves
-    # both the grouping and the join.
-    occurrences = seeds(slim, window, seed).repartition("anchor")
-    shared = (
+    # Seed: anchors of two documents or more, with the representative's surroundings. The grouping is partly done before its
+    # exchange, and both sides of the join are plain exchanges, so that AQE can split the rows of an anchor that is everywhere.
+    occurrences = seeds(slim, window, seed)
+    shared = written(
         occurrences.filter("not met")
         .groupBy("anchor")
         .agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("around", "doc").alias("model"), F.min("around").alias("lo"), F.max("around").alias("hi"))
         .filter("first < last")
         .select("anchor", "first", "model", (F.col("lo") != F.col("hi")).alias("differ"))
     )
-    same = F.col("met") | ((F.col("doc") > F.col("first")) & (F.col("around") == F.col("model")))
-    met = occurrences.join(shared, "anchor", "left").select("doc", F.when(same, F.col("around")).alias("c"), F.when(~same & F.col("differ"), F.col("anchor")).alias("o"))
+    release(spark)
+    same = (F.col("doc") > F.col("first")) & (F.col("around") == F.col("model"))
+    met = occurrences.join(shared, "anchor", "left").select("doc", F.when(F.col("met") | same, F.col("around")).alias("c"), F.when(~F.col("met") & ~same & F.col("differ"), F.col("anchor")).alias("o"))
     by_doc = written(met.filter("c is not null or o is not null").groupBy("doc").agg(F.collect_set("c").alias("covered"), F.collect_set("o").alias("open")))
     del occurrences, shared, met
     release(spark)
 
-    # Extend what differs: windows with the least document that has them.
-    windows = open_windows(slim.join(by_doc.filter("size(open) > 0").select("doc", "open"), "doc"), window, seed).repartition("w1", "w2")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first")
+    # Extend what differs: windows with the least document that has them, by the same two steps.
+    windows = written(open_windows(slim.join(by_doc.filter("size(open) > 0").select("doc", "open"), "doc"), window, seed))
+    least = written(windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first"))
     again = windows.join(least, ["w1", "w2"]).filter("doc > first")
     found = written(again.groupBy("doc").agg(F.collect_list(F.struct("w1", "w2")).alias("windows")))
     del windows, least, again
