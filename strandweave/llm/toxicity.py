@@ -16,7 +16,8 @@ Units are words; letters that stand alone in a row are drawn together, and words
 in overlapping windows. Whole texts are read, in pieces of ``PIECE`` characters that are cut at blanks.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows of each class, those of lowest hash, of at most ``TRAIN_BYTES`` bytes
-(a documented bound on the sample; scoring has none). Only the text is an input.
+(a documented bound on the sample; scoring has none). Of the words to blame it learns from at most ``GUILTY_WORDS`` and
+as many forms of them with an inserted character: those to blame in most texts come first. Only the text is an input.
 
 Defined cases: null and empty texts have no unit and get the probability of the least values; with no labelled rows of one
 of the classes all scores are 0; rows with a null label are not learned from; rows that repeat an id count once, and an
@@ -44,6 +45,7 @@ LONG, STEP = 24, 8
 PIECE = 1 << 18
 TRAIN_ROWS, TRAIN_BYTES = 1500, 4096
 CLEAN_WORDS, HARD_WORDS, GUILTY_WORDS, SHARED = 12_000, 2000, 6000, 8
+SPOILT = 4
 TURNS, PENALTY, SEED = 6, 6.0, 11
 #: A text is judged by its most toxic units, of values between these bounds.
 TOP, NOTHING, MOST = 4, -1.5, 2.0
@@ -166,8 +168,8 @@ def word_values(words: list[str], table: np.ndarray, weights: np.ndarray) -> np.
 
 
 def spoilt(word: str) -> list[str]:
-    """The word with one foreign character inserted at each inner place."""
-    return [word[:i] + "\uffff" + word[i:] for i in range(1, len(word))] if len(word) >= 5 else []
+    """The word with one foreign character inserted at each inner place; words of under ``SPOILT`` characters have none."""
+    return [word[:i] + "\uffff" + word[i:] for i in range(1, len(word))] if len(word) >= SPOILT else []
 
 
 def words_in(text: str) -> list[str]:
@@ -238,7 +240,7 @@ def train(texts: list[str], labels: list[int]) -> dict | None:
     bounds = np.cumsum([0, *map(len, docs)])
     flat = [w for d in docs for w in d]
     for _ in range(TURNS):
-        names = [w for w in sorted(guilty) if w in free][:GUILTY_WORDS]
+        names = sorted((w for w in guilty if w in free), key=lambda w: (-guilty[w], -blame(w), w))[:GUILTY_WORDS]
         if not names:
             return None
         bad = [(v, 0.3 * min(guilty[w], 50)) for w in names for v in spoilt(w)][:GUILTY_WORDS] + [(w, float(min(guilty[w], 50))) for w in names]
