@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """read, k (from 1), n, e, s (supplier contig), len, ident, gap."""
+    """read, k (from 1), n, e, s (supplier contig), len, ident, gap, row (place in the table's files)."""
     li = table(spark, sf_dir, "lineitem")
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
     return li.select(
@@ -33,6 +33,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * 100).cast("int").alias("len"),
         (1 - (F.col("l_discount") + 0.0) / 10).alias("ident"),
         F.round(F.col("l_tax") * 1000 - 40).cast("int").alias("gap"),
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("row"),
     )
 
 
