@@ -245,7 +245,7 @@ SELECT read AS query, row_number() OVER (PARTITION BY read ORDER BY b) AS block,
     SELECT id_adj, ln_adj, abs(total - 20000000.0::DOUBLE) AS diff, total FROM s ORDER BY diff, id_adj, ln_adj LIMIT 1""",
 )
 def auto_min_identity(spark, d):
-    return AL.auto_identity(AL.by_read(records(spark, d)), 2e7, ln_end=2000).withColumn("ln_adj", F.col("ln_adj").cast("long"))
+    return AL.auto_identity(AL.by_read(records(spark, d), "row"), 2e7, ln_end=2000).withColumn("ln_adj", F.col("ln_adj").cast("long"))
 
 
 @register(
