@@ -53,6 +53,14 @@ def most_loaded(loads: DataFrame, over: int = 0) -> DataFrame:
     return loads.groupBy("v").agg(F.max("n").alias("max_load")).filter(F.col("max_load") > over)
 
 
+def fullest(rng: np.random.Generator, bins: int, balls: int) -> int:
+    """Load of the fullest bin when each ball falls into any of the bins alike. Where balls outnumber the bins, the bins' loads are
+    drawn (they are multinomial), so the time follows the lesser of the two numbers."""
+    if balls > bins:
+        return int(rng.multinomial(balls, np.full(bins, 1 / bins)).max())
+    return int(np.unique(rng.integers(0, bins, balls), return_counts=True)[1].max(initial=0))
+
+
 def max_load_threshold(spark, bins: int, balls: int, simulations: int = 100_000, alpha: float = 0.001, seed: int = 12345) -> int:
     """The load that the fullest of ``bins`` windows exceeds by chance in under ``alpha`` of the simulations."""
     if simulations * alpha < 10:
@@ -62,7 +70,7 @@ def max_load_threshold(spark, bins: int, balls: int, simulations: int = 100_000,
         import pyarrow as pa
 
         for b in batches:
-            loads = [int(np.bincount(np.random.default_rng([seed, i]).integers(0, bins, balls), minlength=bins).max()) for i in b.column(0).to_pylist()]
+            loads = [fullest(np.random.default_rng([seed, i]), bins, balls) for i in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(loads, pa.int32())], names=["load"])
 
     counts = spark.range(simulations).mapInArrow(run, "load int").groupBy("load").agg(F.count("*").alias("n"))
