@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, release, small_batches, whole_numbers, written
+from .common import forget, map_rows, release, small_batches, whole_numbers, written
 
 WINDOW, SEED_WORDS = 13, 4
 #: Bytes that are hashed together; longer words than LONG_WORD bytes are hashed one by one.
@@ -152,6 +152,7 @@ def seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """
 
     def run(batches):
+        forget("substrings")
         tool = Hasher(window, seed)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -180,6 +181,7 @@ def open_windows(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """(w1, w2, doc): the hashes of all windows whose anchor is in the document's list ``open``."""
 
     def run(batches):
+        forget("substrings")
         tool = Hasher(window, seed)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
