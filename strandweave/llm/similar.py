@@ -6,11 +6,13 @@ similar at 0.8 differ in 19.4 of them on average (standard deviation 4.1; fewer
 64 (5.7), so all within ``WHOLE`` bits, and ``HALF`` of the first 64, are candidates: a pair at just 0.8 is missed
 about once in 100,000 times.
 
-The vantage point of the search is the empty set: a set's distance to it is its size, and by the triangle bound similar
+The first vantage point of the search is the empty set: a set's distance to it is its size, and by the triangle bound similar
 sets lie in rings whose sizes differ by a factor of DEN / NUM at most. Classes are dealt into blocks of neighbouring
-rings, and a block queries itself and the blocks across its upper boundary that the bound leaves. (At so wide a
-radius rings around other points prune nothing: distances of unrelated fingerprints all lie near 64.) The
-search stays quadratic within a ring's reach; the README has figures.
+rings, and a block queries itself and the blocks across its upper boundary that the bound leaves. Within a task the
+fingerprints are dealt into rings of their Hamming distance to vantage points drawn from them, level by level, and a
+ring meets only rings within ``WHOLE`` of its own (``groups_of``). At so wide a radius that keeps clusters apart but prunes
+little among unrelated fingerprints, whose distances all lie near 64: the search stays quadratic within a ring's reach; the
+README has figures.
 
 A task of the search gives back which classes hang together by candidates, as a spanning forest, never all pairs. In each
 of these groups the candidates are then checked on whole shingle sets, nearest first, and only between classes not
@@ -49,6 +51,9 @@ BLOCK, PIECE = 8_000, 4_000_000
 RING = 1.02
 #: A tile of the comparison: rows and columns.
 TILE = (16, 4096)
+#: The tree of vantage points: pairs that are compared without a further level, most levels, rings that make a band, and
+#: rows that a vantage point is chosen from.
+LEAF, LEVELS, BAND, POINTS = 4_000_000, 3, 6, 24
 #: Up to so many texts are picked out by broadcast hashes (16 MB), more by an exchange.
 FEW = 1_000_000
 
@@ -86,11 +91,55 @@ def candidates(f: np.ndarray, g: np.ndarray, rows: slice, cols: slice) -> tuple[
     return r + rows.start, c + cols.start
 
 
+def apart(f: np.ndarray, g: np.ndarray, v: int) -> np.ndarray:
+    """Differing bits from fingerprint ``v``."""
+    return np.bitwise_count(f ^ f[v]).astype(np.int64) + np.bitwise_count(g ^ g[v])
+
+
+def vantage_point(f: np.ndarray, g: np.ndarray, rows: np.ndarray) -> int:
+    """Of some of the rows the one whose distances to them spread most."""
+    few = rows[:: max(1, len(rows) // POINTS)]
+    return int(few[np.argmax([apart(np.r_[f[v], f[few]], np.r_[g[v], g[few]], 0).var() for v in few])])
+
+
 def groups_of(size: np.ndarray, f: np.ndarray, g: np.ndarray, split: int | None = None) -> np.ndarray:
     """For each class the least place of the group that candidates join it to. Rows are sorted by size; with ``split``,
-    rows before it meet only rows from it on."""
+    rows before it meet only rows from it on.
+
+    Rows fall into bands of rings around a vantage point, and a band meets those that the triangle bound leaves; each such
+    pair of bands is dealt by a vantage point of its own, down to small ones, which are compared.
+    """
     label = np.arange(len(size))
-    last = len(size) if split is None else split
+
+    def walk(rows: np.ndarray, cols: np.ndarray | None, depth: int) -> None:
+        """``cols`` None: all pairs of the rows. Both are sorted by size."""
+        many = len(rows) * (len(rows) if cols is None else len(cols))
+        if not many:
+            return
+        if many <= LEAF or depth >= LEVELS:
+            compare(label, size, f, g, rows, cols)
+            return
+        v = vantage_point(f, g, rows)
+        near = apart(f, g, v)
+        band, far = near[rows] // BAND, near[rows if cols is None else cols]
+        for k in np.unique(band).tolist():
+            mine, low, high = rows[band == k], k * BAND - WHOLE, k * BAND + BAND - 1 + WHOLE
+            if cols is None:
+                walk(mine, None, depth + 1)
+                walk(mine, rows[(far >= (k + 1) * BAND) & (far <= high)], depth + 1)
+            else:
+                walk(mine, cols[(far >= low) & (far <= high)], depth + 1)
+
+    places = np.arange(len(size))
+    walk(places if split is None else places[:split], None if split is None else places[split:], 0)
+    return label
+
+
+def compare(label: np.ndarray, all_sizes: np.ndarray, all_f: np.ndarray, all_g: np.ndarray, rows: np.ndarray, cols: np.ndarray | None) -> None:
+    """Join the labels of all candidates between rows and cols (None: among the rows), tile by tile."""
+    held = rows if cols is None else np.concatenate([rows, cols])
+    split, last = None if cols is None else len(rows), len(rows)
+    size, f, g = all_sizes[held], all_f[held], all_g[held]
     for a in range(0, last, TILE[0]):
         b = min(last, a + TILE[0])
         start = a if split is None else split
@@ -102,10 +151,9 @@ def groups_of(size: np.ndarray, f: np.ndarray, g: np.ndarray, split: int | None
             stop = split + int(np.searchsorted(size[split:], reach, "right"))
         for c in range(start, stop, TILE[1]):
             x, y = candidates(f, g, slice(a, b), slice(c, min(stop, c + TILE[1])))
-            fits = (NUM * np.maximum(size[x], size[y]) <= DEN * np.minimum(size[x], size[y])) & (label[x] != label[y])
+            fits = (NUM * np.maximum(size[x], size[y]) <= DEN * np.minimum(size[x], size[y])) & (label[held[x]] != label[held[y]])
             if fits.any():
-                join(label, label[x[fits]], label[y[fits]])
-    return label
+                join(label, label[held[x[fits]]], label[held[y[fits]]])
 
 
 def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
