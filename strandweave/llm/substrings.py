@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from .common import forget, map_rows, release, small_batches, whole_numbers, written
 
@@ -232,11 +233,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     del occurrences, shared, met
     release(spark)
 
-    # Extend what differs: windows with the least document that has them, by the same two steps.
-    windows = written(open_windows(slim.join(by_doc.filter("size(open) > 0").select("doc", "open"), "doc"), window, seed))
-    least = written(windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first"))
-    again = windows.join(least, ["w1", "w2"]).filter("doc > first")
-    found = written(again.groupBy("doc").agg(F.collect_list(F.struct("w1", "w2")).alias("windows")))
+    # Extend what differs: windows with the least document that has them, by the same two steps. The windows are read twice and stay
+    # on the executors' disks meanwhile (lost ones are computed again): they need no files in the shared folder, for each of which a task
+    # starts several processes (chmod), and these share the whole memory of its JVM until they run.
+    windows = open_windows(slim.join(by_doc.filter("size(open) > 0").select("doc", "open"), "doc"), window, seed).persist(StorageLevel.DISK_ONLY)
+    try:
+        least = written(windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first"))
+        again = windows.join(least, ["w1", "w2"]).filter("doc > first")
+        found = written(again.groupBy("doc").agg(F.collect_list(F.struct("w1", "w2")).alias("windows")))
+    finally:
+        windows.unpersist()
     del windows, least, again
     release(spark)
 
