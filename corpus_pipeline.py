@@ -51,10 +51,9 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "text"), "text", ranks, public_tokenizers.PATTERN).select("row.doc_id", "row.text", "out.ids")
-    decoded = bpe.decode(encoded, "ids", ranks)
+    done = bpe.encode_and_decode(docs.select("doc_id", "text"), "text", ranks, public_tokenizers.PATTERN)
     same = F.col("out.decoded") == F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
-    return decoded.select("row.doc_id", (F.octet_length("row.ids") / 4).cast("long").alias("n_tokens"), "row.ids", same.alias("round_trip"))
+    return done.select("row.doc_id", (F.octet_length("out.ids") / 4).cast("long").alias("n_tokens"), "out.ids", same.alias("round_trip"))
 
 
 STAGES = [

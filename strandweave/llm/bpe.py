@@ -131,31 +131,37 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
 
 
-def encode(df: DataFrame, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
-    """Struct ``row`` (as given) and struct ``out`` with the binary column ``ids``."""
-    content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+def tool(content: bytes, pattern: str):
+    """A function from a text to its ids, and the bytes of each id; both share one vocabulary."""
+    encoder, memo = Encoder(parse_ranks(content)), {}
+    split = regex.compile(pattern)
+
+    def packed(piece: str) -> bytes:
+        made = encoder.piece(piece.encode("utf-8", "surrogatepass"))
+        out = struct.pack(f"<{len(made)}I", *made)
+        if len(piece) <= 2 * HALF:
+            if len(memo) >= MEMO:
+                memo.clear()
+            memo[piece] = out
+        return out
+
+    def ids(text: str | None) -> bytes:
+        get = memo.get
+        return concatenated([get(p) or packed(p) for p in split.findall(text)]) if text else b""
 
-    def tool():
-        encoder, memo = Encoder(parse_ranks(content.value)), {}
-        split = regex.compile(pattern)
+    return ids, encoder.token
 
-        def packed(piece: str) -> bytes:
-            made = encoder.piece(piece.encode("utf-8", "surrogatepass"))
-            out = struct.pack(f"<{len(made)}I", *made)
-            if len(piece) <= 2 * HALF:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[piece] = out
-            return out
 
-        def ids(text: str | None) -> bytes:
-            get = memo.get
-            return concatenated([get(p) or packed(p) for p in split.findall(text)]) if text else b""
+def decoded(token: dict[int, bytes], ids: bytes | None) -> bytes:
+    return concatenated([token[i] for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
 
-        return ids
+
+def encode(df: DataFrame, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
+    """Struct ``row`` (as given) and struct ``out`` with the binary column ``ids``."""
+    content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def make():
-        ids = once("bpe.encode", (ranks_path, pattern, len(content.value)), tool)
+        ids, _ = once("bpe.encode", (ranks_path, pattern, len(content.value)), lambda: tool(content.value, pattern))
         return lambda a: [pa.array(map(ids, a["text"].to_pylist()), pa.binary())]
 
     return map_rows(df, {"text": text_col}, make, T.StructType([T.StructField("ids", T.BinaryType())]))
@@ -167,10 +173,23 @@ def decode(df: DataFrame, ids_col: str, ranks_path: str) -> DataFrame:
 
     def make():
         token = once("bpe.decode", (ranks_path, len(content.value)), lambda: {i: b for b, i in parse_ranks(content.value).items()})
+        return lambda a: [pa.array([decoded(token, ids) for ids in a["ids"].to_pylist()], pa.binary())]
 
-        def text(ids: bytes | None) -> bytes:
-            return concatenated([token[i] for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
+    return map_rows(df, {"ids": ids_col}, make, T.StructType([T.StructField("decoded", T.BinaryType())]))
 
-        return lambda a: [pa.array(map(text, a["ids"].to_pylist()), pa.binary())]
 
-    return map_rows(df, {"ids": ids_col}, make, T.StructType([T.StructField("decoded", T.BinaryType())]))
+def encode_and_decode(df: DataFrame, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
+    """``encode`` and ``decode`` of its ids, ``out`` with both columns, in one worker: each after the other takes two workers a task,
+    and either may hold the tables of both."""
+    content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def make():
+        ids, token = once("bpe.encode", (ranks_path, pattern, len(content.value)), lambda: tool(content.value, pattern))
+
+        def call(a):
+            made = [ids(t) for t in a["text"].to_pylist()]
+            return [pa.array(made, pa.binary()), pa.array([decoded(token, i) for i in made], pa.binary())]
+
+        return call
+
+    return map_rows(df, {"text": text_col}, make, T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]))
